@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from .packing import op6_best_fit_packing
+from .substring_dedup import OP5_SQL, op5_substring_dedup
 from .token_counts import op2_token_counts
 
-QUERIES = {f.__name__: f for f in (op2_token_counts, op6_best_fit_packing)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op2_token_counts, op5_substring_dedup, op6_best_fit_packing)}
+ORACLES: dict[str, str] = {"op5_substring_dedup": OP5_SQL}
