@@ -57,7 +57,7 @@ def token_counts(docs: DataFrame, tokenizer: str, cache_path: str, limit: int =
     texts_once = keyed.alias("d").join(misses.alias("m"), (F.col("d.digest") == F.col("m.digest")) & F.col("d.doc_id").eqNullSafe(F.col("m.doc_id")))
     counted = texts_once.select("d.digest", "d.text").mapInArrow(_encode(tokenizer), "digest binary, n_tokens long")
     counted.groupBy("digest").agg(F.first("n_tokens").alias("n_tokens")).select(F.lit(version).alias("version"), "digest", "n_tokens").write.mode("append").parquet(cache_path)
-    counts = read_cache(spark, cache_path, version)
+    counts = written(read_cache(spark, cache_path, version), "counts")
     return digests.join(counts, "digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 
