@@ -7,6 +7,7 @@ from .near_dedup import op7_bag_minhash
 from .packing import op6_best_fit_packing
 from .substring_dedup import OP5_SQL, op5_substring_dedup
 from .token_counts import op2_token_counts
+from .toxicity import op3_ftrl_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_token_counts, op5_substring_dedup, op6_best_fit_packing, op7_bag_minhash)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_token_counts, op3_ftrl_toxicity, op5_substring_dedup, op6_best_fit_packing, op7_bag_minhash)}
 ORACLES: dict[str, str] = {"op5_substring_dedup": OP5_SQL}
