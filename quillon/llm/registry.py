@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .line_dedup import op1_line_dedup
+from .mixing import op9_low_discrepancy_mix
 from .near_dedup import op7_bag_minhash
 from .packing import op6_best_fit_packing
 from .quality_rules import op4_decision_list
@@ -10,5 +11,5 @@ from .substring_dedup import OP5_SQL, op5_substring_dedup
 from .token_counts import op2_token_counts
 from .toxicity import op3_ftrl_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_token_counts, op3_ftrl_toxicity, op4_decision_list, op5_substring_dedup, op6_best_fit_packing, op7_bag_minhash)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_token_counts, op3_ftrl_toxicity, op4_decision_list, op5_substring_dedup, op6_best_fit_packing, op7_bag_minhash, op9_low_discrepancy_mix)}
 ORACLES: dict[str, str] = {"op5_substring_dedup": OP5_SQL}
