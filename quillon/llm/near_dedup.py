@@ -152,6 +152,14 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = 20, ro
     return joined.select("doc_id", "row", F.when(alone, F.col("doc_id")).otherwise(F.col("root.doc_id")).alias("class_id"), (alone | (node == F.col("root"))).alias("kept"))
 
 
+def keep_one(docs: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs`` but those whose class another document stands for."""
+    gone = near_duplicates(docs, **options).where("not kept").select(F.struct("doc_id", "row").alias("key"), F.lit(True).alias("gone")).distinct()
+    once = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())
+    rows = docs.select(F.struct("doc_id", F.hash("text").alias("row")).alias("key"), once.alias("once"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("all"))
+    return rows.join(gone, "key", "left_anti").dropDuplicates(["key", "once"]).select("all.*")
+
+
 def op7_bag_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "kept")

@@ -25,6 +25,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import WordHash, as_bytes, pair, small_batches, table
 
@@ -141,6 +142,13 @@ def score_toxicity(docs: DataFrame, model: Weights) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(_score(model), "doc_id long, score double")
 
 
+def reject_toxic(docs: DataFrame, model: Weights, threshold: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` that score below ``threshold``, all columns unchanged."""
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), "text")
+    schema = T.StructType([rows.schema["row"], T.StructField("score", T.DoubleType())])
+    return rows.mapInArrow(_score(model), schema).where(F.col("score") < threshold).select("row.*")
+
+
 def op3_ftrl_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     docs = table(spark, sf_dir, "documents")
