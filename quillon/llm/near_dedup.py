@@ -147,7 +147,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = 20, ro
     more = links(written(rest, "pairs"))
     roots = written(components(found.unionByName(more)), "roots") if not more.isEmpty() else roots
     rooted = reps.select("key", "node").join(roots, "node", "left").select("key", F.coalesce("root", "node").alias("root"))
-    joined = signed.select("doc_id", "row", "key").join(rooted, "key", "left")
+    joined = signed.select("doc_id", "row", F.when(F.col("doc_id").isNotNull(), F.col("key")).alias("key")).join(rooted, "key", "left")
     alone = F.col("root").isNull()
     return joined.select("doc_id", "row", F.when(alone, F.col("doc_id")).otherwise(F.col("root.doc_id")).alias("class_id"), (alone | (node == F.col("root"))).alias("kept"))
 

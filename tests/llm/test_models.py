@@ -1,0 +1,100 @@
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from quillon.llm.common import table
+from quillon.llm.quality_rules import BASE, quality_rules, text_statistics
+from quillon.llm.toxicity import Rates, fit_toxicity, ftrl, held_out, reject_toxic, score_toxicity
+
+from .conftest import edge_texts, prose
+
+SF = "/root/testdata/sf0.01"
+
+
+@pytest.fixture(scope="module")
+def labelled(spark):
+    r = random.Random(5)
+    texts, labels = [], []
+    for i in range(900):
+        words = prose(1000 + i, 60).split()
+        toxic = int(i % 4 == 0)
+        if toxic:
+            for _ in range(5):
+                words.insert(r.randrange(len(words)), r.choice(["vileword", "Nastyword,", "badword."]))
+        texts.append((i, " ".join(words)))
+        labels.append((i, 1 - toxic, toxic if i % 50 else None))
+    return spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+
+
+def test_toxicity_held_out_accuracy(labelled):
+    docs, labels = labelled
+    scored = score_toxicity(docs, fit_toxicity(docs, labels)).join(labels, "doc_id").where(held_out() & F.col("toxic").isNotNull()).collect()
+    assert len(scored) > 100
+    assert sum((r["score"] >= 0.5) == (r["toxic"] == 1) for r in scored) >= 0.97 * len(scored)
+
+
+def test_toxicity_never_learns_from_held_out_rows(labelled):
+    docs, labels = labelled
+    turned = labels.withColumn("toxic", F.when(held_out(), 1 - F.col("toxic")).otherwise(F.col("toxic")))
+    a, b = fit_toxicity(docs, labels), fit_toxicity(docs, turned)
+    assert np.array_equal(a.buckets, b.buckets) and np.array_equal(a.values, b.values)
+
+
+def test_toxicity_edges(spark, edge, nothing, labelled):
+    model = fit_toxicity(*labelled)
+    scores = score_toxicity(edge, model).collect()
+    assert len(scores) == len(edge_texts()) and all(0 <= r["score"] <= 1 for r in scores)
+    assert score_toxicity(nothing, model).collect() == []
+    unlabelled = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert {r["score"] for r in score_toxicity(edge, fit_toxicity(edge, unlabelled)).collect()} == {0.5}
+    kept = reject_toxic(edge, model)
+    assert kept.columns == edge.columns and kept.count() == len(edge_texts())
+    assert reject_toxic(labelled[0].withColumn("score", F.lit("x")), model).count() < 700
+
+
+def test_held_out_is_the_crc(edge):
+    for r in edge.select("doc_id", held_out().alias("h")).collect():
+        assert r["h"] == (r["doc_id"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0)
+
+
+def test_ftrl_is_sparse_and_ordered():
+    rows = [(np.asarray([k % 2, 2 + k % 50, 64], np.int32), k % 2) for k in range(400)]
+    w = ftrl(rows, 6, Rates(l1=4.0))
+    assert w[1] > 0 > w[0] and (w[2:52] != 0).sum() < 50
+
+
+def statistics(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    lines = [x for x in (text or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    grams = Counter(tuple(words[k : k + 5]) for k in range(len(words) - 4))
+    covered = {p for k in range(len(words) - 4) if grams[tuple(words[k : k + 5])] > 1 for p in range(k, k + 5)}
+    return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text or "")), len(lines) - len(set(lines)), len(covered)
+
+
+def test_statistics_equal_brute_force(edge, nothing):
+    got = sorted((tuple(r) for r in text_statistics(edge).select("doc_id", *BASE).collect()), key=repr)
+    assert got == sorted(((i, *statistics(t)) for i, t in edge_texts()), key=repr)
+    assert text_statistics(nothing).collect() == []
+
+
+def test_rules_keep_good_and_reject_bad(spark):
+    docs, labels = table(spark, SF, "documents"), table(spark, SF, "labels")
+    judged, rules = quality_rules(docs, labels)
+    assert rules and all(1 <= len(r) <= 3 for r in rules)
+    plan = judged._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+    rows = judged.where(~F.col("base_failed")).join(labels, "doc_id").select("quality", "kept").collect()
+    assert all(r["kept"] for r in rows if r["quality"] == 1)
+    assert sum(not r["kept"] for r in rows if r["quality"] == 0) >= 0.9 * sum(r["quality"] == 0 for r in rows)
+
+
+def test_rules_without_labels(spark, edge, nothing):
+    unlabelled = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    judged, rules = quality_rules(edge, unlabelled)
+    assert rules == [] and all(r["kept"] != r["base_failed"] for r in judged.collect())
+    assert quality_rules(nothing, unlabelled)[0].collect() == []
