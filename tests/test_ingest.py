@@ -1,0 +1,175 @@
+import json
+
+import pytest
+from pyspark.sql import functions as F
+
+from quillon.operators.links import cyclic_nodes, dereference
+from quillon.operators.reads import compositions_of, one
+from quillon.operators.reconstruct import reconstruct
+from quillon.operators.writes import arrived_in_window, delete_submissions, once_each, repoint_links, upsert, with_id
+from quillon.plans.registry import Schedule
+from quillon.plans.registry import standard
+from quillon.schemas import STAGING
+from quillon.sources.catalog import Catalog
+from quillon.sources.snapshots import read_documents, read_front_matter, read_records
+from quillon.streaming.ingest import DELIVERY, ingest, parse, stream
+
+from .test_hashing_and_expressions import device, entity
+
+
+def delivery(i, body, subject="s", at=None, version="v1"):
+    return (i, subject, version, 1000 + (at or 0), json.dumps(body))
+
+
+def doc(*devices, integration="hue", entities=()):
+    return {integration: {"devices": list(devices), "entities": list(entities)}}
+
+
+@pytest.fixture
+def catalog(spark, tmp_path):
+    return Catalog(spark, str(tmp_path / "lake"))
+
+
+def counts(catalog):
+    return {n: catalog.read(f"staging.{n}").count() for n in STAGING}
+
+
+def hashes_of(spark, *bodies):
+    rows = [(str(k), json.dumps(b)) for k, b in enumerate(bodies)]
+    return [r["hash"] for r in parse(spark.createDataFrame(rows, "submission_id string, body string")).hashes.orderBy(F.col("submission_id").cast("int")).collect()]
+
+
+def test_submission_hash_invariants(spark):
+    hub, a, b = device(model="hub"), device(model="a"), device(model="b", entities=[entity(), entity(domain="fan")])
+    via = lambda d, offset: d | {"via_device": ["hue", offset]}
+    h = hashes_of(
+        spark, doc(a, b), doc(b, a), doc(a, b, a), doc(a), doc(a, b, entities=[entity()]), doc(hub, via(a, 0)), doc(via(a, 1), hub), doc(hub, a), doc(hub, via(a, -2)), doc(hub, via(a, 9)),
+        doc(via(hub, 1), via(a, 0)), {}, doc(a, b, {**a, "has_configuration_url": None}),
+    )
+    assert h[0] == h[1] == h[2] == h[4] == h[12]  # order, copies, integration entities and malformed devices don't matter
+    assert h[5] == h[6] == h[8] and h[7] == h[9] == h[10]  # place, dangling and circular links don't matter
+    assert len({h[0], h[3], h[5], h[7], h[11]}) == 5
+
+
+def test_side_outputs(spark):
+    good, bad = device(entities=[entity()]), device(entities=[entity(domain=None)])
+    p = parse(spark.createDataFrame([("1", json.dumps(doc(good, bad, good | {"via_device": ["x", 0]}, entities=[entity(), entity(has_entity_name=None)])))], "submission_id string, body string"))
+    assert (p.devices.count(), p.malformed_devices.count(), p.malformed_entities.count(), p.dangling.count()) == (2, 1, 1, 1)
+    assert [r["position"] for r in p.devices.orderBy("position").collect()] == [0, 1]
+
+
+def test_ingest_deduplicates_and_is_idempotent(spark, catalog):
+    lamp, lamp2 = device(sw_version="1.2", entities=[entity(), entity(domain="fan")]), device(model=None, model_id="")
+    batch = spark.createDataFrame([delivery("d1", doc(lamp, lamp2)), delivery("d2", doc(lamp2, lamp), "t", 5), delivery("d3", doc(lamp, integration="other"), "t", 9)], DELIVERY)
+    report = {r["kind"]: r["count"] for r in ingest(catalog, batch).collect()}
+    assert report["empty_device"] == 2 and report["malformed_device"] == 0
+    first = counts(catalog)
+    assert (first["submission"], first["attribution_submission"], first["device"], first["permutation"], first["entity"]) == (2, 3, 3, 3, 2)
+    assert one(catalog.read("staging.attribution_submission").where("id = 'd2'"))["submission_id"] == "d1"
+    assert {r["version_sw"] for r in catalog.read("staging.permutation").collect()} == {'"1.2"', None}
+    assert all(r["assumed_state"] is False for r in catalog.read("staging.entity").collect())
+    ingest(catalog, batch)
+    assert counts(catalog) == first
+    ingest(catalog, spark.createDataFrame([delivery("d4", doc(lamp, lamp2), "u", 50)], DELIVERY))
+    now = counts(catalog)
+    assert now["attribution_submission"] == 4 and {k: v for k, v in now.items() if k != "attribution_submission"} == {k: v for k, v in first.items() if k != "attribution_submission"}
+
+
+def test_sets_composition_reconstruction_and_delete(spark, catalog):
+    e = [entity(), entity(domain="fan"), entity(domain="light", assumed_state=None)]
+    orders = [(0, 1, 2), (0, 2, 1), (1, 0, 2), (1, 2, 0), (2, 0, 1), (2, 1, 0), (0, 0, 1, 2), ()]
+    rows = [delivery(f"d{k}", {**doc(device(entities=[e[i] for i in order])), "n": {"devices": [device(model=f"m{k}")], "entities": []}}, at=k) for k, order in enumerate(orders)]
+    ingest(catalog, spark.createDataFrame(rows, DELIVERY))
+    t = {n: catalog.read(f"staging.{n}") for n in STAGING}
+    shared = t["attribution_permutation"].groupBy("permutation_id").count().where("count = 8").first()["permutation_id"]
+    composed = compositions_of(t, shared).collect()
+    assert [(r["count"], len(r["entities"])) for r in composed] == [(7, 3)]  # the set without members has no row
+    body = one(reconstruct(t).where("submission_id = 'd3'"))["body"]
+    assert set(body) == {"hue", "n"} and len(body["hue"]["devices"][0]["entities"]) == 3 and body["n"]["devices"][0]["model"] == "m3"
+    left = delete_submissions(t, spark.createDataFrame([("d3",)], "id string"))
+    assert left["submission"].count() == 7 and left["attribution_device"].count() == 14 and left["device"].count() == t["device"].count()
+
+
+def test_links_are_stored_once(spark, catalog):
+    hub, a = device(model="hub"), device(model="a", via_device=["hue", 0])
+    ingest(catalog, spark.createDataFrame([delivery("d1", doc(hub, a, a)), delivery("d2", {**doc(hub, a), "x": {"devices": [device(model="b", via_device=["hue", -2])], "entities": []}}, at=1)], DELIVERY))
+    assert catalog.read("staging.link").count() == 2 and catalog.read("staging.attribution_link").count() == 3
+
+
+def test_stream_resumes(spark, catalog, tmp_path):
+    source = tmp_path / "in"
+    source.mkdir()
+    line = lambda k: json.dumps(dict(zip(("id", "subject", "version", "created_at", "body"), delivery(f"d{k}", doc(device(model=f"m{k}"))))))
+    for k in range(2):
+        (source / f"{k}.json").write_text(line(k) + "\nnot json\n" + line(0) + "\n")
+        query = stream(spark, str(source), catalog, str(tmp_path / "checkpoint"), once=True)
+        query.awaitTermination()
+        assert query.exception() is None
+    assert counts(catalog)["submission"] == 2 and counts(catalog)["attribution_submission"] == 2
+
+
+def test_derived_tables_over_a_catalog(spark, catalog, tmp_path):
+    from datetime import datetime, timezone
+
+    rows = [delivery(f"d{k}-{n}", doc(device(model="lamp", sw_version="1", entities=[entity(domain="light", original_device_class="other")]), device(model=f"m{k}{n}")), f"s{k}", n * 60) for k in range(6) for n in range(2)]
+    ingest(catalog, spark.createDataFrame(rows, DELIVERY))
+    r = standard(catalog)
+    statuses = list(r.act(r.plan_for(["device", "submission", "meta"]), datetime.fromtimestamp(2000, timezone.utc)))
+    assert all(s.ok for s in statuses), statuses
+    assert catalog.read("derived.subject").agg(F.sum("streak")).first()[0] == 6
+    found = catalog.read("derived.device").collect()
+    assert [(d["model"], d["count"], d["first_encountered_at"]) for d in found] == [("lamp", 6, 1000)]
+    assert [tuple(v) for v in found[0]["versions_software"]] == [("1", 6, 1000)] and [tuple(e) for e in found[0]["entities"]] == [("light", None)] and found[0]["versions_hardware"] == []
+    assert catalog.read("derived.submission").count() == 0 and catalog.read("derived.meta_entity_stat").count() >= 12
+    catalog.export(str(tmp_path / "copy"))
+    assert spark.read.parquet(str(tmp_path / "copy" / "derived.device")).count() == 1
+    catalog.register()
+    assert spark.sql("select count(*) from derived_device join device using (id)").first()[0] == 1
+
+
+def test_readers(spark, tmp_path):
+    (tmp_path / "docs").mkdir()
+    (tmp_path / "docs" / "a.json").write_text(json.dumps(doc(device())))
+    got = one(read_documents(spark, str(tmp_path / "docs")))
+    assert got["bytes"] == len(json.dumps(doc(device()))) and json.loads(got["body"])
+    (tmp_path / "lines").mkdir()
+    (tmp_path / "lines" / "a.ndjson").write_text("\n".join([json.dumps({"integration": "a", "device": device()}), json.dumps({"integration": "a", "entity": entity()}), "{}", "x"]))
+    assert read_records(spark, str(tmp_path / "lines")).count() == 2
+    (tmp_path / "md").mkdir()
+    (tmp_path / "md" / "lamp.markdown").write_text("---\ntitle: Lamp\n---\ntext")
+    (tmp_path / "md" / "none.markdown").write_text("no front")
+    assert [tuple(r)[:2] for r in read_front_matter(spark, str(tmp_path / "md")).collect()] == [("lamp", "title: Lamp")]
+
+
+CYCLES = [({"a": ["b"], "b": ["a"]}, "ab"), ({"a": ["a"]}, "a"), ({"a": ["b"], "b": ["c"]}, ""), ({"a": ["b"], "b": ["c"], "c": ["b"]}, "bc"), ({"a": ["b"], "b": ["a", "c"], "c": ["b"]}, "abc"), ({"a": ["b", "c"], "b": ["d"], "c": ["d"], "d": []}, ""), ({"a": ["b"], "b": ["c"], "c": ["a"], "x": ["y"], "y": ["x"], "q": ["a"]}, "abcxy")]
+
+
+def test_cyclic_nodes(spark):
+    rows = [(k, c, p) for k, (graph, _) in enumerate(CYCLES) for c, ps in graph.items() for p in ps]
+    got = {(r["submission_id"], r["node"]) for r in cyclic_nodes(spark.createDataFrame(rows, "submission_id int, child string, parent string")).collect()}
+    assert got == {(k, n) for k, (_, nodes) in enumerate(CYCLES) for n in nodes}
+
+
+def test_dereference_offsets(spark):
+    devices = spark.createDataFrame([("s", "a", k, f"h{k}") for k in range(3)], "submission_id string, integration string, position int, hash string")
+    children = spark.createDataFrame([("s", "c", "a", k) for k in (0, 2, 3, -1, -3, -4)] + [("s", "c", "b", 0), ("t", "c", "a", 0)], "submission_id string, child string, parent_integration string, parent_offset int")
+    edges, dangling = dereference(children, devices)
+    assert {r["parent"] for r in edges.collect()} == {"h0", "h2"} and dangling.count() == 4
+
+
+def test_upsert_keeps_the_first_representation(spark):
+    schema = "n int, integration string, manufacturer string, model string, model_id string"
+    existing = with_id(spark.createDataFrame([(0, "a", "m", None, "x")], schema), "device").select("id", "integration", "manufacturer", "model", "model_id")
+    rows = spark.createDataFrame([(1, "a", "m", "", "x"), (3, "b", "m", "", None), (2, "b", "m", None, None)], schema)
+    got = sorted((r["integration"], r["model"]) for r in upsert(existing, rows, "device", "n").collect())
+    assert got == [("a", None), ("b", None)]
+
+
+def test_once_window_and_repointing(spark):
+    arrivals = spark.createDataFrame([("a", 2), ("a", 1), ("b", 1)], "id string, created_at long")
+    assert [tuple(r) for r in once_each(arrivals, spark.createDataFrame([("b",)], "id string")).collect()] == [("a", 1)]
+    due = spark.createDataFrame([(k, t) for k, t in enumerate((0, 2799, 2800, 10_000, 10_001))], "k int, expected_at long")
+    assert [r["k"] for r in arrived_in_window(due, 10_000).orderBy("k").collect()] == [2, 3]
+    links = spark.createDataFrame([("1", "p", "c"), ("2", "p", "c"), ("3", "p", "d")], "id string, parent_id string, child_id string")
+    kept, moved = repoint_links(links, spark.createDataFrame([("s", "1"), ("s", "2"), ("t", "2"), ("t", "3")], "submission_id string, link_id string"))
+    assert kept.count() == 2 and sorted(map(tuple, moved.collect())) == [("s", "1"), ("t", "1"), ("t", "3")]
