@@ -126,6 +126,19 @@ _QUERIES = {
 }
 ORACLES = {name: TABLES + text for name, text in _QUERIES.items()}
 
+
+def _carried() -> str:
+    """The hexadecimal digits of the limbs' sum, without leading zeros."""
+    total, digits = "limb7", []
+    for i in range(7, -1, -1):
+        digits.insert(0, f"lpad(printf('%x', ({total}) % 4294967296), 8, '0')")
+        total = f"({total}) // 4294967296" + (f" + limb{i - 1}" if i else "")
+    return "ltrim(printf('%x', " + total + ") || " + " || ".join(digits) + ", '0')"
+
+
+ORACLES["commutative_hash_by_subject"] = f"""{TABLES}, limbs as ({_QUERIES["limb_sums_by_subject"]}), digits as (select subject, {_carried()} h from limbs)
+select subject, sha256(unhex(case when h = '' then '00' when length(h) % 2 = 1 then '0' || h else h end)) hash from digits"""
+
 _EDGES = """
 with recursive e as (select distinct s_suppkey % 4 submission_id, s_nationkey child, ((s_nationkey * 7 + s_suppkey) % 25)::int parent from supplier),
 edges as (select * from e where child <> parent and child % 3 = 0 or parent = child + 1),
