@@ -11,6 +11,7 @@ from ..operators import categories, classify, links, reads, serving, writes
 from ..plans import device as plan
 from ..plans.subject import bounded_streak, derived_subject
 from ..plans.submission import derived_submission
+from ..storage import cut
 from .standins import EVENT_WINDOW, PERMUTATION_PART, RULES, SUBJECT_WINDOW, SUBMISSION, StandIns
 
 QUERIES = {}
@@ -97,7 +98,7 @@ def device_entities(t):
 
 
 def catalogue(t) -> DataFrame:
-    return plan.derived_device(t, subjects(t), RULES)
+    return plan.derived_device(t, cut(subjects(t)), RULES)
 
 
 @query

@@ -6,13 +6,14 @@ puts them together. Correlated lookups are aggregations that are joined once.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expressions import ascii_ilike, ascii_lower, blank, has_version, unquoted
+from ..storage import cut
 
 # Integrations whose devices aren't listed.
 BLOCKED_INTEGRATIONS = [
@@ -123,12 +124,14 @@ def gathered(rows: DataFrame, name: str, *fields: str) -> DataFrame:
     return rows.groupBy("device_id").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias(name))
 
 
-def derived_device(t: Tables, subjects: DataFrame, rules: DeviceRules = DeviceRules()) -> DataFrame:
-    """One row per device of enough subjects; arrays are empty, never null."""
-    attributed = attributions(t, subjects)
-    counted = counted_devices(t, attributed, filtered_devices(t, rules), rules)
-    permutations = t["permutation"].join(counted.select("device_id"), "device_id", "left_semi")
-    dated = dated_submissions(t, attributed)
+def derived_device(t: Tables, subjects: DataFrame, rules: DeviceRules = DeviceRules(), shared: Callable[[DataFrame], DataFrame] = cut) -> DataFrame:
+    """One row per device of enough subjects; arrays are empty, never null. ``shared`` is applied
+    to the stages that several others read; by default they are checkpointed, so each is
+    computed once and survives lost executors."""
+    attributed = shared(attributions(t, subjects))
+    counted = shared(counted_devices(t, attributed, filtered_devices(t, rules), rules))
+    permutations = shared(t["permutation"].join(counted.select("device_id"), "device_id", "left_semi"))
+    dated = shared(dated_submissions(t, attributed))
     dates = permutation_dates(t, dated, permutations)
     active = active_permutations(t, latest_popularity(t, subjects), permutations)
     software = gathered(versions(permutations, dates, "version_sw", active), "versions_software", "version", "active", "first_encountered_at")
