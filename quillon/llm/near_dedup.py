@@ -9,9 +9,11 @@ weighted Jaccard similarity. Points come in the order of time, so a process stop
 first point behind the largest component, and almost all stop after one or two points.
 
 Documents with equal multisets form one node. Nodes that share a band are candidates: first
-each with the smallest of its bucket, and, where verified links leave a bucket with several
-classes, all pairs between those classes that weren't looked at. Candidates are verified on
-the whole texts, classes are the components of verified links.
+each with its bucket's hub, the node that shares most buckets; then, where the verified links
+leave a bucket with several classes, every pair between those classes. In buckets of more
+than ``few`` nodes those outside the largest class meet all others in tiles of bounded size,
+one matrix product each, of which one link per node and class is returned. Candidates are
+verified on the whole texts, classes are the components of verified links.
 
 Edge cases: null and empty texts have no shingle and are alone; under five words, the whole
 word sequence is the one shingle; rows with a null doc_id are alone (class_id null); rows that
@@ -23,6 +25,7 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -115,7 +118,72 @@ def _verify(threshold: float):
     return verify
 
 
-def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = 20, rows: int = 4) -> DataFrame:
+def elements(words: list[bytes]) -> np.ndarray:
+    """The multiset as a set: the c-th occurrence of a shingle is an element of its own."""
+    h, c = bag(words)
+    if len(h) == int(c.sum()):
+        return h
+    nth = np.arange(int(c.sum())) - np.repeat(np.cumsum(c) - c, c)
+    with np.errstate(over="ignore"):
+        return mix(np.repeat(h, c) + nth.astype(np.uint64) * _LEVEL)
+
+
+def common_counts(a: list[np.ndarray], b: list[np.ndarray], columns: int = 8192) -> np.ndarray:
+    """Sizes of the intersections of each set of a with each of b."""
+    out = np.zeros((len(a), len(b)), np.float32)
+    in_a, in_b = np.concatenate([*a, np.zeros(0, np.uint64)]), np.concatenate([*b, np.zeros(0, np.uint64)])
+    row_a, row_b = np.repeat(np.arange(len(a)), [len(x) for x in a]), np.repeat(np.arange(len(b)), [len(x) for x in b])
+    shared = np.intersect1d(in_a, in_b)
+    if not len(shared):
+        return out
+    at_a, at_b = np.searchsorted(shared, in_a), np.searchsorted(shared, in_b)
+    ok_a, ok_b = shared[np.minimum(at_a, len(shared) - 1)] == in_a, shared[np.minimum(at_b, len(shared) - 1)] == in_b
+    for low in range(0, len(shared), columns):
+        here_a, here_b = ok_a & (at_a >= low) & (at_a < low + columns), ok_b & (at_b >= low) & (at_b < low + columns)
+        x, y = np.zeros((len(a), min(columns, len(shared) - low)), np.float32), np.zeros((len(b), min(columns, len(shared) - low)), np.float32)
+        x[row_a[here_a], at_a[here_a] - low] = 1
+        y[row_b[here_b], at_b[here_b] - low] = 1
+        out += x @ y.T
+    return out
+
+
+def _tile(threshold: float):
+    def tile(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        found = []
+        if len(left) and len(right):
+            a, b = ([elements((t or "").encode().split()) for t in side["text"]] for side in (left, right))
+            na, nb = np.asarray([len(x) for x in a], float), np.asarray([len(x) for x in b], float)
+            common = common_counts(a, b)
+            alike = common >= threshold * (na[:, None] + nb[None, :] - common) - 1e-6
+            root_a, node_a, root_b, node_b = ([(r["doc_id"], r["row"]) for r in side[c]] for side in (left, right) for c in ("root", "node"))
+            for i in np.flatnonzero(alike.any(axis=1)):
+                seen = {root_a[i]}
+                for j in np.flatnonzero(alike[i]):
+                    if root_b[j] not in seen:
+                        seen.add(root_b[j])
+                        found.append((*node_a[i], *node_b[j]))
+        return pd.DataFrame(np.asarray(found, np.int64).reshape(-1, 4), columns=["ud", "ur", "vd", "vr"])
+
+    return tile
+
+
+def _across_classes(crowds: DataFrame, text: DataFrame, threshold: float, tile: int = 256) -> DataFrame:
+    """Links between the classes of each bucket in ``crowds`` (band, node, root)."""
+    counts = crowds.groupBy("band", "root").agg(F.count("*").alias("n"))
+    largest = counts.groupBy("band").agg(F.max(F.struct("n", "root")).alias("most"), F.sum("n").alias("all"))
+    grid = largest.select("band", F.col("most.root").alias("main"), F.ceil(F.col("all") / tile).cast("int").alias("wide"), F.ceil((F.col("all") - F.col("most.n")) / tile).cast("int").alias("high"))
+    rows = crowds.join(written(grid, "tiles"), "band").join(text, "node").select("band", "node", "root", "main", "wide", "high", "text", F.xxhash64("node", "band").alias("h"))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    cell = lambda n: F.pmod("h", F.col(n)).cast("int")
+    columns = ["band", "i", "j", "node", "root", "text"]
+    left = rows.where("root != main").withColumn("i", cell("high")).withColumn("j", every("wide")).select(*columns)
+    right = rows.withColumn("j", cell("wide")).withColumn("i", every("high")).select(*(F.col(c).alias(c) for c in columns))  # attributes of its own
+    found = left.groupBy("band", "i", "j").cogroup(right.groupBy("band", "i", "j")).applyInPandas(_tile(threshold), "ud long, ur int, vd long, vr int")
+    end = lambda d, r: F.struct(F.col(d).alias("doc_id"), F.col(r).alias("row"))
+    return found.select(end("ud", "ur").alias("u"), end("vd", "vr").alias("v"))
+
+
+def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = 20, rows: int = 4, few: int = 32) -> DataFrame:
     """doc_id, row (hash of the text, tells apart rows that share a doc_id), class_id (smallest
     doc_id of the class) and kept (true for the one document of the class that stays)."""
     source = docs.select("doc_id", F.hash("text").alias("row"), "text")
@@ -124,10 +192,13 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = 20, ro
     keyed = signed.where("key is not null and doc_id is not null")
     reps = written(keyed.groupBy("key").agg(F.min(node).alias("node"), F.first("n").alias("n"), F.first("bands").alias("bands")), "nodes")
     buckets = reps.select("node", "n", F.explode("bands").alias("band"))
-    close = (F.least("n", "first.n") >= threshold * F.greatest("n", "first.n") - F.lit(1e-9)) & (F.col("node") != F.col("first.node"))
-    stars = buckets.groupBy("band").agg(F.min(F.struct("node", "n")).alias("first"), F.count("*").alias("size")).where("size > 1")
-    crowded = written(buckets.join(stars, "band"), "buckets")
-    tried = written(crowded.where(close).select(F.col("node").alias("u"), F.col("first.node").alias("v")).distinct(), "pairs")
+    sizes = written(buckets.groupBy("band").agg(F.count("*").alias("size")).where("size > 1"), "sizes")
+    crowded = written(buckets.join(sizes, "band"), "buckets")
+    degrees = crowded.groupBy("node").agg(F.sum("size").alias("degree"))
+    hubs = written(crowded.join(degrees, "node").groupBy("band").agg(F.min(F.struct(-F.col("degree"), "node", "n")).alias("hub")), "hubs")
+    close = (F.least("n", "hub.n") >= threshold * F.greatest("n", "hub.n") - F.lit(1e-9)) & (F.col("node") != F.col("hub.node"))
+    ends = crowded.join(hubs, "band").where(close).select(F.greatest("node", "hub.node").alias("u"), F.least("node", "hub.node").alias("v"))
+    tried = written(ends.distinct(), "pairs")
     wanted = tried.select(F.col("u").alias("node")).unionByName(tried.select(F.col("v").alias("node"))).unionByName(crowded.where("size > 2").select("node")).distinct()
     text = written(source.join(wanted.select("node.*"), ["doc_id", "row"]).dropDuplicates(["doc_id", "row"]).select(node.alias("node"), "text"), "candidates")
 
@@ -137,14 +208,15 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = 20, ro
 
     found = links(tried)
     roots = written(components(found), "roots")
-    in_class = crowded.where("size > 2").join(roots, "node", "left").select("band", "node", "n", F.coalesce("root", "node").alias("root"))
-    mixed = in_class.groupBy("band").agg((F.min("root") != F.max("root")).alias("mixed")).where("mixed").select("band")
+    in_class = crowded.where("size > 2").join(roots, "node", "left").select("band", "size", "node", "n", F.coalesce("root", "node").alias("root"))
+    mixed = written(in_class.groupBy("band").agg((F.min("root") != F.max("root")).alias("mixed")).where("mixed").select("band"), "mixed")
     open_buckets = written(in_class.join(mixed, "band"), "open")
-    a, b = open_buckets.alias("a"), open_buckets.alias("b")
+    a, b = (open_buckets.where(F.col("size") <= few).alias(x) for x in "ab")
     near = F.least("a.n", "b.n") >= threshold * F.greatest("a.n", "b.n") - F.lit(1e-9)
     across = a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.root") != F.col("b.root")) & (F.col("a.node") > F.col("b.node")) & near)
     rest = across.select(F.col("a.node").alias("u"), F.col("b.node").alias("v")).distinct().join(tried, ["u", "v"], "left_anti")
-    more = links(written(rest, "pairs"))
+    more = links(written(rest, "pairs")).unionByName(_across_classes(open_buckets.where(F.col("size") > few), text, threshold))
+    more = written(more, "more-links")
     roots = written(components(found.unionByName(more)), "roots") if not more.isEmpty() else roots
     rooted = reps.select("key", "node").join(roots, "node", "left").select("key", F.coalesce("root", "node").alias("root"))
     joined = signed.select("doc_id", "row", F.when(F.col("doc_id").isNotNull(), F.col("key")).alias("key")).join(rooted, "key", "left")
