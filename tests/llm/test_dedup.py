@@ -5,7 +5,7 @@ import pytest
 
 from quillon.llm.components import components
 from quillon.llm.line_dedup import chunks_of, line_dedup, removable
-from quillon.llm.near_dedup import bag, keep_one, near_duplicates, signatures, similarity
+from quillon.llm.near_dedup import bag, common_counts, elements, keep_one, near_duplicates, signatures, similarity
 from quillon.llm.substring_dedup import substring_dedup
 
 from .conftest import edge_texts, prose
@@ -108,7 +108,8 @@ def test_near_duplicates_equal_brute_force(edge, nothing):
     assert ids.count(None) == 2 and ids.count(18) == 1  # one of its two texts is a copy of 17's
 
 
-def test_near_copies_of_near_copies_form_one_class(spark):
+@pytest.mark.parametrize("few", [1, 32])
+def test_near_copies_of_near_copies_form_one_class(spark, few):
     """A chain whose ends aren't similar, and a group whose smallest member is at its border."""
     words = prose(21, 300).split()
     texts = []
@@ -118,7 +119,7 @@ def test_near_copies_of_near_copies_form_one_class(spark):
             w[k * 9] = f"z{k}"
         texts.append((1000 - i, " ".join(w)))
     df = spark.createDataFrame(texts, "doc_id long, text string")
-    assert sorted(((r["doc_id"], r["class_id"]) for r in near_duplicates(df).collect()), key=repr) == brute_classes(texts)
+    assert sorted(((r["doc_id"], r["class_id"]) for r in near_duplicates(df, few=few).collect()), key=repr) == brute_classes(texts)
 
 
 def test_signature_agreement_is_weighted_jaccard():
@@ -134,3 +135,11 @@ def test_components(spark):
     edges = [(k, k + 1) for k in range(40) if k % 10 != 9] + [(100, k) for k in range(101, 160)] + [(7, 7)]
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {k: k - k % 10 for k in range(40)} | {k: 100 for k in range(100, 160)} | {k: k - k % 10 for k in range(40)}
+
+
+def test_tiles_count_multisets():
+    words = [w.split() for w in (b"a b c d e f g a b c d e f g", b"a b c d e f g h a b c d e", b"x y z x y z x y z", b"")]
+    sets = [elements(w) for w in words]
+    want = [[len(sets[i]) if i == j else round(similarity(bag(a), bag(b)) * (len(sets[i]) + len(sets[j])) / (1 + similarity(bag(a), bag(b)))) for j, b in enumerate(words)] for i, a in enumerate(words)]
+    for columns in (2, 8192):
+        assert common_counts(sets, sets, columns).tolist() == want
