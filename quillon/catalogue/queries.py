@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.expressions import content_id
 from ..functions.hashing import commutative_hash, set_identity
-from ..operators import categories, classify, links, reads, serving, writes
+from ..operators import backfill, categories, classify, links, reads, serving, writes
 from ..plans import device as plan
 from ..plans.subject import bounded_streak, derived_subject
 from ..plans.submission import derived_submission
@@ -262,6 +262,20 @@ def set_identities(t):
     return members.select("submission_id", set_identity(F.col("m")).alias("hash"))
 
 
+@query
+def version0_hashes(t):
+    return backfill.version0_hashes(t)
+
+
+@query
+def legacy_entity_sets(t):
+    pairs = t["sets"].select(F.col("l_orderkey").alias("submission_id"), F.concat_ws("-", F.lit("p"), (F.col("l_orderkey") % 50).cast("string")).alias("permutation_id"), "entity_id")
+    sets, content, attributed = backfill.sets_from_pairs(pairs)
+    sizes = content.groupBy(F.col("set_id").alias("id")).agg(F.count("*").alias("entities"))
+    uses = attributed.groupBy(F.col("set_id").alias("id")).agg(F.count("*").alias("uses"))
+    return sets.join(sizes, "id").join(uses, "id").select("permutation_id", "hash", "entities", "uses")
+
+
 @query
 def delete_cascade(t):
     """Rows left of each table after the submissions of one priority go."""

@@ -105,6 +105,11 @@ _QUERIES = {
     "dedup_upsert": "select distinct integration, manufacturer, case when id % 5 = 0 then '' else coalesce(model, '') end model, '' model_id from device",
     "content_ids": "select integration, manufacturer, model, sha256(concat_ws(chr(1), 'device', integration, manufacturer, coalesce(model, ''))) content_id from device",
     "set_identities": "select l_orderkey submission_id, to_base64(unhex(sha256(string_agg(entity_id, '' order by entity_id)))) hash from (select distinct l_orderkey, entity_id from sets) group by 1",
+    "version0_hashes": """, ids as (select submission_id, 0 k, permutation_id id from attribution_permutation union all select conv_id, 1, parent_id || '-' || child_id from turns union all select submission_id, 2, set_id from attribution_set)
+      select s.id submission_id, '0-' || to_base64(unhex(sha256(coalesce(string_agg(ids.id, '' order by k, ids.id), '')))) hash from submission s left join ids on ids.submission_id = s.id group by 1""",
+    "legacy_entity_sets": """, pairs as (select l_orderkey, 'p-' || (l_orderkey % 50) permutation_id, entity_id from sets),
+      m as (select l_orderkey, permutation_id, count(distinct entity_id) n, to_base64(unhex(sha256(string_agg(distinct entity_id, '' order by entity_id)))) hash from pairs group by 1, 2)
+      select permutation_id, hash, n entities, count(*) uses from m group by 1, 2, 3""",
     "delete_cascade": """, gone as (select id from attribution_submission where "version" = '1-URGENT')
       select 'submission' "name", count(*) "count" from submission where id not in (select id from gone)
       union all select 'attribution_submission', count(*) from attribution_submission where submission_id not in (select id from gone)
