@@ -7,8 +7,8 @@ window) looks at the survivors only. Anchors whose surroundings (all words of th
 windows they stand for) are the same in every document are settled at once: all those
 windows are repeated. For the rest, the 2k-word windows themselves are hashed and counted.
 Nothing longer is asked for, so the doubling ends at 2k. Groups are only ever reduced to the
-smallest doc_id by map-side aggregation, and joins are from many rows to one per key, which
-Spark may split.
+smallest doc_id by map-side aggregation. What is joined back is one row per key, written first:
+Spark can then split a hot key's many rows, which it can't below an aggregation.
 
 Two 64-bit hashes (anchor and surroundings, or anchor and window) must agree before a
 window counts as repeated.
@@ -130,13 +130,14 @@ def substring_dedup(docs: DataFrame, window: int = 50) -> DataFrame:
     level1 = written(rows.mapInArrow(_find(k), ANCHORS), "anchors")
     anchors = level1.select("doc_id", "row", F.inline("anchors"))
     repeated = anchors.groupBy("a").agg(F.min("doc_id").alias("min_doc"), F.max("doc_id").alias("max_doc"), (F.min("g") != F.max("g")).alias("open"))
-    repeated = repeated.where("min_doc < max_doc").select("a", "min_doc", "open")
+    repeated = written(repeated.where("min_doc < max_doc").select("a", "min_doc", "open"), "repeated")
     survivors = anchors.select("a", "doc_id", "row", "first", "n").join(repeated, "a").where("open or doc_id > min_doc")
     marks = survivors.groupBy("doc_id", "row").agg(F.collect_list(F.struct("first", "n", "open")).alias("marks"))
     marked = written(rows.join(marks, ["doc_id", "row"]), "marked")
     level2 = written(marked.mapInArrow(_windows(k), "w long, doc_id long, row int, at int"), "windows")
     again = level2.groupBy("w").agg(F.min("doc_id").alias("min_doc"), F.max("doc_id").alias("max_doc")).where("min_doc < max_doc")
-    found = level2.join(again.select("w", "min_doc"), "w").where("doc_id > min_doc").groupBy("doc_id", "row").agg(F.collect_set("at").alias("found"))
+    again = written(again.select("w", "min_doc"), "again")
+    found = level2.join(again, "w").where("doc_id > min_doc").groupBy("doc_id", "row").agg(F.collect_set("at").alias("found"))
     changed = marked.join(found, ["doc_id", "row"], "left").mapInArrow(_keep(k), OUT)
     same = level1.select("doc_id", "row", "n_words", "kept_sha256").join(marked.select("doc_id", "row").distinct(), ["doc_id", "row"], "left_anti")
     return changed.unionByName(same.select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), "kept_sha256"))
