@@ -6,7 +6,8 @@ whose bytes stood earlier (smaller doc_id, then earlier place) is removed: chunk
 the candidates, and each candidate's bytes are then compared with the first occurrence's.
 
 The digests are reduced to a first occurrence by map-side aggregation; the candidates' bytes
-meet the one first copy of each digest in a join, which Spark may split where it is hot.
+meet the one first copy of each digest, written first, in a join that Spark can split where it
+is hot.
 
 Edge cases: a null text stays null and has 0 lines; an empty text has one empty line; chunks
 without any word are never removed; rows with a null doc_id neither lose lines nor cause
@@ -114,12 +115,12 @@ def line_dedup(docs: DataFrame, rolling: int = 2, one_in: int = 2, most: int = 6
     rows = docs.select("doc_id", F.hash("text").alias("row"), "text")
     digests = written(rows.mapInArrow(_digests(how), CHUNKS), "line-chunks")
     chunks = digests.select("doc_id", "row", F.inline("chunks"))
-    first = chunks.groupBy("h").agg(F.min(F.struct("doc_id", "k")).alias("at"), F.count("*").alias("n")).where("n > 1").select("h", "at")
+    first = written(chunks.groupBy("h").agg(F.min(F.struct("doc_id", "k")).alias("at"), F.count("*").alias("n")).where("n > 1").select("h", "at"), "line-first")
     candidates = chunks.join(first, "h").groupBy("doc_id", "row").agg(F.collect_list("k").alias("ks"))
     repeated = written(rows.join(candidates, ["doc_id", "row"]).mapInArrow(_bytes(how), "doc_id long, row int, k int, h long, chunk binary"), "line-bytes")
     copies = repeated.join(first, "h")
     at = F.struct("doc_id", "k")
-    originals = copies.where(at == F.col("at")).groupBy("h").agg(F.min("chunk").alias("original"))
+    originals = written(copies.where(at == F.col("at")).groupBy("h").agg(F.min("chunk").alias("original")), "line-originals")
     same = copies.where(at > F.col("at")).join(originals, "h").where(F.col("chunk") == F.col("original"))
     gone = same.groupBy("doc_id", "row").agg(F.collect_set("k").alias("gone")).select(F.struct("doc_id", "row").alias("key"), "gone")
     others = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
