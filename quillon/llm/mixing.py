@@ -10,6 +10,10 @@ shuffled by a hash, form a stream that is cut into blocks of equal words, and it
 takes block r modulo its number of blocks: an epoch, then the next. A document's words taken
 are those of its pieces in the blocks, as often as each block is taken.
 
+Settling: slots are whole and a source's last block is short, so after the schedule a source
+has taken a run of its repeated stream that ends near its target, not at it. The run is then
+drawn on or cut back to the rounded target, whatever the size of the blocks.
+
 Ranks and stream places are two-level prefix sums (by stretches of slots, by ranges of the
 hash), so a source with most of the rows is spread over many tasks.
 
@@ -77,6 +81,12 @@ def schedule(spark: SparkSession, parts: DataFrame, slots: int, kind: str = "gol
     return placed.withColumn("within", within).join(before, ["source_no", "stretch"]).select("slot", "source_no", (F.col("before") + F.col("within")).alias("rank"))
 
 
+def words_within(run: Column) -> Column:
+    """A row's words among the first ``run`` words of its source's stream, repeated endlessly."""
+    rest = run % F.col("source_size")
+    return ((run - rest) / F.col("source_size")).cast("long") * F.col("size") + F.greatest(F.lit(0), F.least(rest - F.col("start"), F.col("size")))
+
+
 def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), most_epochs: int = 3, kind: str = "golden", seed: int = 9, block_words: int | None = None) -> DataFrame:
     """doc_id, source, key (hash of the text), size, source_size, target, taken of each row."""
     spark = docs.sparkSession
@@ -91,8 +101,11 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), most_epoc
     slots = int(-(-total // block))
     parts = sources.where("target > 0").select("source_no", ((F.col("upto") - goal) / total).alias("low"), F.when(F.col("upto") >= total, 1.0).otherwise(F.col("upto") / total).alias("high")) if total else sources.select("source_no", F.lit(0.0).alias("low"), F.lit(0.0).alias("high")).limit(0)
     blocks = F.ceil(F.col("source_size") / block)
-    ranked = schedule(spark, parts, slots, kind).join(sources.where("source_size > 0").select("source_no", blocks.alias("blocks")), "source_no")
-    times = ranked.where(F.col("rank") < F.col("blocks") * most_epochs).groupBy("source_no", (F.col("rank") % F.col("blocks")).alias("block")).agg(F.count("*").alias("times"))
+    ranked = schedule(spark, parts, slots, kind).join(sources.where("source_size > 0").select("source_no", "source_size", blocks.alias("blocks")), "source_no")
+    times = ranked.where(F.col("rank") < F.col("blocks") * most_epochs).groupBy("source_no", "source_size", (F.col("rank") % F.col("blocks")).alias("block")).agg(F.count("*").alias("times"))
+    times = written(times, "times")
+    in_block = F.least(F.lit(block), F.col("source_size") - F.col("block") * block)
+    runs = written(times.groupBy("source_no").agg(F.sum(in_block * F.col("times")).alias("run")), "runs")
 
     keyed = sizes.join(sources, sizes["source"].eqNullSafe(sources["source"])).select("doc_id", sizes["source"], "key", "size", "source_size", "target", "source_no")
     shuffle = F.xxhash64("doc_id", "key", F.lit(seed))
@@ -104,10 +117,11 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), most_epoc
     stream = written(stream.select("doc_id", "source", "key", "size", "source_size", "target", "source_no", "start"), "stream")
     pieces = stream.where("size > 0").select("source_no", "start", "size", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block))).alias("block"))
     words = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block) - F.greatest(F.col("start"), F.col("block") * block)
-    taken = pieces.join(times, ["source_no", "block"]).groupBy("source_no", "start").agg(F.sum(words * F.col("times")).alias("taken"))
-    with_size = stream.where("size > 0").join(taken, ["source_no", "start"], "left")
+    taken = pieces.join(times.drop("source_size"), ["source_no", "block"]).groupBy("source_no", "start").agg(F.sum(words * F.col("times")).alias("taken"))
+    with_size = stream.where("size > 0").join(taken, ["source_no", "start"], "left").join(runs, "source_no", "left")
+    settled = words_within(F.round("target").cast("long")) - words_within(F.coalesce("run", F.lit(0)))
     columns = ["doc_id", "source", "key", "size", "source_size", "target"]
-    return with_size.select(*columns, F.coalesce("taken", F.lit(0)).cast("long").alias("taken")).unionByName(stream.where("size = 0").select(*columns, F.lit(0).cast("long").alias("taken")))
+    return with_size.select(*columns, (F.coalesce("taken", F.lit(0)) + settled).cast("long").alias("taken")).unionByName(stream.where("size = 0").select(*columns, F.lit(0).cast("long").alias("taken")))
 
 
 def op9_low_discrepancy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

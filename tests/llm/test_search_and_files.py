@@ -106,6 +106,20 @@ def test_mix_meets_targets_and_bounds(spark, edge, nothing):
     assert mix(edge).count() == len(edge_texts())
 
 
+@pytest.mark.parametrize("block_words", [1, 40, 2500])
+def test_mix_settles_every_source_at_any_block(spark, block_words):
+    """Sources below one block, of 2-3 blocks and far above, and one with more words than its target."""
+    words = {"a": 300_000, "b": 20, "c": 100, "d": 1000, "e": 2640, "f": 5200, None: 200_000}
+    rows = [(i, " ".join(["w"] * 10), s) for s, n in words.items() for i in range(n // 10)]
+    got = mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), block_words=block_words).collect()
+    assert len(got) == len(rows)
+    for s, n in words.items():
+        mine = [r for r in got if r["source"] == s]
+        assert sum(r["taken"] for r in mine) == round(mine[0]["target"]) and all(0 <= r["taken"] <= 30 for r in mine)
+        if s in ("b", "c", "d", "e", "f"):
+            assert mine[0]["target"] == 3 * n and all(r["taken"] == 30 for r in mine)
+
+
 def test_targets_reshare_until_none_is_above(spark):
     df = spark.createDataFrame([("a", 1000), ("b", 10), ("c", 10), ("d", 1)], "source string, size long")
     got = {r["source"]: r["target"] for r in source_targets(df, (1.0, 5.0, 5.0), 3).collect()}
