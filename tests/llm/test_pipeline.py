@@ -1,8 +1,11 @@
 import hashlib
+from collections import Counter
+from functools import partial
 
 import corpus_pipeline
 from pyspark.sql import functions as F
 from quillon.llm.common import written
+from quillon.llm.mixing import mix
 
 from .conftest import frame, prose
 
@@ -61,3 +64,13 @@ def test_reruns_agree(spark):
         return hashlib.sha256(repr(sorted(map(tuple, rows), key=repr)).encode()).hexdigest()
 
     assert digest() == digest()
+
+
+def test_mixing_keeps_small_sources_whole_at_large_blocks(spark, monkeypatch):
+    """Beside a large source, those below one block and of 2-3 blocks keep every document three times."""
+    monkeypatch.setattr(corpus_pipeline, "mix", partial(mix, block_words=2500))
+    sizes = {"large": 4000, "tiny": 10, "two": 52, "under": 20}
+    docs = spark.createDataFrame([(f"{s}-{i}", " ".join(["w"] * 100), s) for s, n in sizes.items() for i in range(n)], "doc_id string, text string, source string")
+    got = Counter((r["source"], r["doc_id"]) for r in corpus_pipeline.mixing(spark, docs, "").collect())
+    for s in ("tiny", "two", "under"):
+        assert [got[s, f"{s}-{i}"] for i in range(sizes[s])] == [3] * sizes[s]
