@@ -294,6 +294,16 @@ def orphan_devices(t):
     return t["device"].join(kept.select("id"), "id", "left_anti").select("id")
 
 
+@query
+def orphan_devices_expired(t):
+    """Devices that no submission of the whole table uses once those before the subject window go."""
+    names = ("submission", "attribution_submission", "attribution_device", "attribution_permutation", "attribution_set", "attribution_link")
+    expired = t["attribution_submission"].where(F.col("created_at") < t.now() - SUBJECT_WINDOW).select("id")
+    left = writes.delete_submissions({n: t[n] for n in names}, expired)
+    kept = writes.delete_orphans(t["device"], "id", left["attribution_device"], "device_id")
+    return t["device"].join(kept.select("id"), "id", "left_anti").select("id")
+
+
 @query
 def late_window(t):
     rows = t["attribution_submission"].select("id", "subject", (F.col("created_at") + 23 * 3600).alias("expected_at"))

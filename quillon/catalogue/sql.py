@@ -117,6 +117,8 @@ _QUERIES = {
       union all select 'attribution_permutation', count(*) from attribution_permutation where submission_id not in (select id from gone)
       union all select 'attribution_set', count(*) from attribution_set where submission_id not in (select id from gone)""",
     "orphan_devices": "select id from device where id not in (select device_id from attribution_device where submission_id < 500)",
+    "orphan_devices_expired": f"""select id from device where id not in (select device_id from attribution_device
+      where submission_id not in (select id from attribution_submission where created_at < (select t from clock) - {SUBJECT_WINDOW}))""",
     "late_window": "select id, subject, created_at + 82800 expected_at from attribution_submission where created_at + 82800 <= (select t from clock) - 86400 and (select t from clock) - 86400 <= created_at + 82800 + 864000",
     "finished_submissions": "select id, created_at, case when completed_at is null and id % 3 = 0 then 'h' else hash end hash, case when completed_at is null and id % 3 = 0 then created_at + 5 else completed_at end completed_at from submission",
     "swapped_columns": "select id, case when manufacturer like '%A%' then manufacturer else model end model, case when manufacturer like '%A%' then model else manufacturer end manufacturer from device",
