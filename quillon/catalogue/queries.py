@@ -288,6 +288,18 @@ def delete_cascade(t):
     return out
 
 
+@query
+def delete_cascade_links(t):
+    """The cascade over all of its six tables, the rows of each counted."""
+    names = ("submission", "attribution_submission", "attribution_device", "attribution_permutation", "attribution_set", "attribution_link")
+    left = writes.delete_submissions({n: t[n] for n in names}, t["attribution_submission"].where("version = '1-URGENT'").select("id"))
+    out = None
+    for name in names:
+        n = left[name].agg(F.count("*").alias("count")).select(F.lit(name).alias("name"), "count")
+        out = n if out is None else out.unionByName(n)
+    return out
+
+
 @query
 def orphan_devices(t):
     kept = writes.delete_orphans(t["device"], "id", t["attribution_device"].where("submission_id < 500"), "device_id")

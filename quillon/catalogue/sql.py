@@ -146,6 +146,9 @@ def _carried() -> str:
 ORACLES["commutative_hash_by_subject"] = f"""{TABLES}, limbs as ({_QUERIES["limb_sums_by_subject"]}), digits as (select subject, {_carried()} h from limbs)
 select subject, sha256(unhex(case when h = '' then '00' when length(h) % 2 = 1 then '0' || h else h end)) hash from digits"""
 
+ORACLES["delete_cascade_links"] = ORACLES["delete_cascade"] + """
+      union all select 'attribution_link', count(*) from turns where conv_id not in (select id from gone)"""
+
 _EDGES = """
 with recursive e as (select distinct s_suppkey % 4 submission_id, s_nationkey child, ((s_nationkey * 7 + s_suppkey) % 25)::int parent from supplier),
 edges as (select * from e where child <> parent and child % 3 = 0 or parent = child + 1),

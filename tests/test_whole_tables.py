@@ -33,3 +33,12 @@ def test_orphans_are_sought_in_the_whole_table(spark, tables):
     put("conversations", [], "conv_id long, turn long, role string, text string")
     lineitem(put, [(900, 1), (100, 2), (100, 3), (101, 3)])
     assert sorted(r["id"] for r in QUERIES["orphan_devices_expired"](spark, folder).collect()) == [2, 4]
+
+
+def test_cascade_takes_the_links_along(spark, tables):
+    put, folder = tables
+    orders(put, {k: datetime(2000, 1, 1) for k in (1, 2, 3)}, {2: "1-URGENT"})
+    lineitem(put, [(1, 1), (2, 1), (3, 1)])
+    put("conversations", [(c, n, "user", "x") for c in (1, 2, 3) for n in range(3)], "conv_id long, turn long, role string, text string")
+    left = {r["name"]: r["count"] for r in QUERIES["delete_cascade_links"](spark, folder).collect()}
+    assert left == {"submission": 2, "attribution_submission": 2, "attribution_device": 2, "attribution_permutation": 2, "attribution_set": 2, "attribution_link": 4}
