@@ -364,6 +364,16 @@ def link_cycles(t):
     return links.cyclic_nodes(edges)
 
 
+@query
+def link_cycles_turns(t):
+    """Turns on a cycle: every turn refers to the one before, a user's also to the one after the next."""
+    name = lambda n: F.concat_ws(":", F.col("conv_id").cast("string"), n.cast("string"))
+    turns = t.raw("conversations").select("conv_id", "turn").distinct()
+    ahead = t.raw("conversations").where("role = 'user'").select("conv_id", (F.col("turn") + 2).alias("turn")).distinct().join(turns, ["conv_id", "turn"], "left_semi")
+    back = t["turns"].select(F.col("conv_id").alias("submission_id"), F.col("child_id").alias("child"), F.col("parent_id").alias("parent"))
+    return links.cyclic_nodes(back.unionByName(ahead.select(F.col("conv_id").alias("submission_id"), name(F.col("turn") - 2).alias("child"), name(F.col("turn")).alias("parent"))))
+
+
 @query
 def json_explode(t):
     return t.raw("events").select("event_id", F.explode(F.from_json("props", "map<string,long>")).alias("key", "value"))

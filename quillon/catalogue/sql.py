@@ -156,6 +156,12 @@ reach as (select * from edges union select r.submission_id, r.child, e.parent fr
 select submission_id, child node from reach where child = parent
 """
 ORACLES["link_cycles"] = _EDGES
+ORACLES["link_cycles_turns"] = """
+with recursive c as (select distinct conv_id, turn, role from conversations),
+edges as (select c.conv_id submission_id, c.conv_id || ':' || c.turn child, d.conv_id || ':' || d.turn parent from c join c d on d.conv_id = c.conv_id and (d.turn = c.turn - 1 or d.turn = c.turn + 2 and c.role = 'user')),
+reach as (select * from edges union select r.submission_id, r.child, e.parent from reach r join edges e on e.submission_id = r.submission_id and e.child = r.parent)
+select submission_id, child node from reach where child = parent
+"""
 ORACLES["classify_integration"] = """
 with s as (select c_nationkey, c_custkey % 40 k, list(distinct case c_mktsegment when 'BUILDING' then 'Light' when 'AUTOMOBILE' then 'Car' when 'HOUSEHOLD' then 'Media Player' when 'FURNITURE' then 'Remote' end) c from customer group by 1, 2),
 f as (select c_nationkey, k, list_sort(list_filter(c, lambda x: x is not null)) c from s)

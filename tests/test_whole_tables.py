@@ -42,3 +42,11 @@ def test_cascade_takes_the_links_along(spark, tables):
     put("conversations", [(c, n, "user", "x") for c in (1, 2, 3) for n in range(3)], "conv_id long, turn long, role string, text string")
     left = {r["name"]: r["count"] for r in QUERIES["delete_cascade_links"](spark, folder).collect()}
     assert left == {"submission": 2, "attribution_submission": 2, "attribution_device": 2, "attribution_permutation": 2, "attribution_set": 2, "attribution_link": 4}
+
+
+def test_cycles_of_every_conversation_are_found(spark, tables):
+    put, folder = tables
+    roles = ["system", "user", "system", "system", "system"]
+    put("conversations", [(c, n, r, "x") for c in range(40) for n, r in enumerate(roles)], "conv_id long, turn long, role string, text string")
+    got = sorted(map(tuple, QUERIES["link_cycles_turns"](spark, folder).collect()))
+    assert got == sorted((c, f"{c}:{n}") for c in range(40) for n in (1, 2, 3))
