@@ -10,8 +10,8 @@ Nothing longer is asked for, so the doubling ends at 2k. Groups are only ever re
 smallest doc_id by map-side aggregation. What is joined back is one row per key, written first:
 Spark can then split a hot key's many rows, which it can't below an aggregation.
 
-Two 64-bit hashes (anchor and surroundings, or anchor and window) must agree before a
-window counts as repeated.
+Two 64-bit hashes (anchor and surroundings) must agree before the windows of a settled anchor
+count as repeated; for the rest the window's one 64-bit hash decides.
 
 Edge cases: null texts have no words; documents under 2k words keep everything; rows with a
 null doc_id keep everything and cause no removal; rows that share a doc_id don't remove
