@@ -16,7 +16,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm.common import WORD, small_batches, table, written
+from quillon.llm.common import WORD, table, written
 from quillon.llm.line_dedup import line_dedup
 from quillon.llm.mixing import mix
 from quillon.llm.near_dedup import keep_one
@@ -28,12 +28,10 @@ ORACLE_SQL = None
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    small_batches(spark)
     return reject_toxic(docs, fit_toxicity(docs, table(spark, sf_dir, "labels")))
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    small_batches(spark)
     kept = line_dedup(docs).where((F.col("n_removed_lines") == 0) | F.coalesce(F.col("text").rlike(WORD), F.lit(False)))
     lengths = {"n_chars": F.when(F.col("n_removed_lines") > 0, F.char_length("text")).otherwise(F.col("kept.n_chars")).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {}
     own = {"doc_id": F.col("doc_id"), "text": F.col("text"), **lengths}
@@ -41,7 +39,6 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    small_batches(spark)
     return keep_one(docs)
 
 
@@ -56,7 +53,6 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    small_batches(spark)
     return best_fit_packing(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
