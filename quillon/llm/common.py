@@ -8,8 +8,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,18 +43,17 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A path of its own under the shared folder. The caller's results may read it lazily,
-    so it stays until ``drop_scratch`` or until the owner of the folder empties it."""
-    return f"{shared_dir(spark)}/quillon-{name}-{uuid.uuid4().hex}"
+    """A path of its own under this application's part of the shared folder. The caller's
+    results may read it lazily, so it stays until ``drop_scratch`` or until the owner of the
+    folder empties it."""
+    return f"{shared_dir(spark)}/quillon-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
 def drop_scratch(spark: SparkSession) -> None:
-    """Delete every scratch table below the shared folder; results not yet written are lost."""
-    jvm, root = spark.sparkContext._jvm, f"{shared_dir(spark)}/quillon-*"
-    path = jvm.org.apache.hadoop.fs.Path(root)
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    for status in fs.globStatus(path) or []:
-        fs.delete(status.getPath(), True)
+    """Delete this application's scratch tables, and no other's; its results that are not yet
+    written are lost."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/quillon-{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -61,9 +63,26 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Bound the texts that one Arrow batch holds; a whole text is never split."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def portions(batches: Iterable[pa.RecordBatch], column: str = "text", most_bytes: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+    """Slices of the batches that hold at most ``most_bytes`` of a text column, or one text.
+
+    What a task holds in Python at a time is bounded by the bytes, not by the rows; the batches
+    themselves are bounded by spark.sql.execution.arrow.maxBytesPerBatch. No setting of the
+    caller's session is touched, and a whole text is never split."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        start = 0
+        while start < batch.num_rows:
+            done = int(ends[start - 1]) if start else 0
+            stop = max(start + 1, int(np.searchsorted(ends, done + most_bytes, side="right")))
+            yield batch.slice(start, stop - start)
+            start = stop
+
+
+def identity(text: str | Column = "text") -> tuple[Column, Column]:
+    """r1, r2: 128 bits that tell apart rows which share a doc_id (equal for equal texts)."""
+    text = F.col(text) if isinstance(text, str) else text
+    return F.xxhash64(text).alias("r1"), F.xxhash64(F.lit(0x5EED), text).alias("r2")
 
 
 def word_count(text: Column) -> Column:

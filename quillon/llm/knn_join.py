@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import small_batches, table, written
+from .common import table, written
 
 CELLED = "vec_id long, v array<long>, dim int, cell int, dist double, norm double"
 ASKED = "vec_id long, v array<long>, floor double, dim int, cell int, block int"
@@ -157,7 +157,6 @@ def voronoi_top_k(vectors: DataFrame, is_query: Column, k: int = 5, pivots: int
 
 
 def op10_voronoi_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
-    small_batches(spark)
     return voronoi_top_k(quantised(table(spark, sf_dir, "embeddings"), "vec_id", "embedding"), F.col("vec_id") % 50 == 0)
 
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, table, written
+from .common import portions, table, written
 from .tokenizer import encoder, texts
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -35,7 +35,7 @@ def _cut(tokenizer: str, end_id: int, room: int):
     end = np.asarray([end_id], "<u4").tobytes()
 
     def cut(batches):
-        for batch in batches:
+        for batch in portions(batches):
             out: list[list] = [[], [], [], [], []]
             for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encoder(tokenizer).packed(texts(batch.column("text")))):
                 ids += end
@@ -119,5 +119,4 @@ def best_fit_packing(docs: DataFrame, tokenizer: str, end_id: int = 2, room: int
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    small_batches(spark)
     return best_fit_packing(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))

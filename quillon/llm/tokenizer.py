@@ -4,7 +4,8 @@ A ``.json`` file is read by tokenizers, a ``.model`` file by sentencepiece. Wher
 file holds a byte-level BPE whose merges stand in the order of their ids, its own ranks are
 given to tiktoken, which applies the same merges in the same order to the same pattern's
 pieces several times faster; the tests compare whole texts. Texts that hold one of the
-tokenizer's special strings always go to the library itself, which has its default for them.
+tokenizer's special strings always go to the library itself, which has its default for them,
+and so do texts with runs of white space so long that the faster pattern refuses them.
 """
 
 from __future__ import annotations
@@ -67,8 +68,16 @@ class Encoder:
             merges = tiktoken.Encoding("ranks", pat_str=BYTE_LEVEL, mergeable_ranks=ranks, special_tokens={})
             self.fast = lambda text: merges.encode_to_numpy(text, disallowed_special=()).astype("<u4").tobytes()
 
+    def ids(self, text: str) -> bytes:
+        if self.fast is None or any(s in text for s in self.special):
+            return self.whole(text)
+        try:
+            return self.fast(text)
+        except ValueError:  # its pattern gives up on runs of white space of several 100,000 characters
+            return self.whole(text)
+
     def packed(self, texts: list[str]) -> list[bytes]:
-        return [self.whole(t) if self.fast is None or any(s in t for s in self.special) else self.fast(t) for t in texts]
+        return [self.ids(t) for t in texts]
 
 
 _encoders: dict[str, Encoder] = {}

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch, small_batches, table
+from .common import scratch, table
 
 MAGIC = b"\x1f\x8b\x08"
 VERSION = b"WARC/1.0\r\n"
@@ -206,7 +206,6 @@ def response_records(pages: DataFrame, least: int = 100) -> DataFrame:
 
 
 def op8_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    small_batches(spark)
     manifest = write_archives(response_records(table(spark, sf_dir, "pages")), scratch(spark, "warc"))
     number = lambda c: F.expr(f"try_cast(substring({c}, 10) as bigint)")
     return read_archives(manifest).select(number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to").alias("refers_to"))

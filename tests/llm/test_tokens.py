@@ -5,9 +5,10 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from quillon.llm.common import scratch
+import quillon.llm.token_counts as token_counts_module
+from quillon.llm.common import scratch, shared_dir
 from quillon.llm.packing import best_fit, best_fit_packing
-from quillon.llm.token_counts import read_cache, token_counts, tokenizer_version
+from quillon.llm.token_counts import op2_token_counts, read_cache, token_counts, tokenizer_version
 from quillon.llm.tokenizer import Encoder
 
 from .conftest import edge_texts
@@ -45,6 +46,38 @@ def test_token_counts_edges_and_cache(spark, edge):
     assert spark.read.parquet(cache).count() == stored.count()
 
 
+def cached(spark, path):
+    return sorted((r["digest"], r["n_tokens"]) for r in spark.read.parquet(path).collect())
+
+
+def test_the_second_run_of_the_query_encodes_nothing(spark, monkeypatch):
+    op2_token_counts(spark, "/root/testdata/sf0.001").collect()
+    path = f"{shared_dir(spark)}/quillon-token-cache"
+    before = cached(spark, path)
+    monkeypatch.setattr(token_counts_module, "_encode", lambda tokenizer: pytest.fail("encoded again"))
+    assert op2_token_counts(spark, "/root/testdata/sf0.001").count() == 200
+    assert cached(spark, path) == before and len({d for d, _ in before}) == len(before)
+
+
+def test_each_digest_is_encoded_once(spark):
+    cache = scratch(spark, "cache")
+    rows = [(1, "a b c")] * 50 + [(None, "a b c")] * 50 + [(None, "d e")] * 50 + [(0, "d e"), (2, None), (2, "")]
+    got = token_counts(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), BPE, cache).collect()
+    assert len(got) == len(rows)
+    assert len(cached(spark, cache)) == 3
+
+
+LONG_SPACES = [" " * 1_000_000, "\n" * 1_000_000, "a" + " \t" * 500_000 + "b"]
+
+
+def test_long_runs_of_white_space(spark):
+    df = spark.createDataFrame(list(enumerate(LONG_SPACES)), "doc_id long, text string")
+    got = {r["doc_id"]: r["n_tokens"] for r in token_counts(df, BPE, scratch(spark, "cache")).collect()}
+    assert got == {i: len(ids(t)) for i, t in enumerate(LONG_SPACES)}
+    pieces = best_fit_packing(df, BPE).collect()
+    check_packing(pieces, list(enumerate(LONG_SPACES)), 1024)
+
+
 def test_token_counts_of_nothing(spark, nothing):
     assert token_counts(nothing, BPE, scratch(spark, "cache")).collect() == []
 
