@@ -10,9 +10,11 @@ The fit reads at most about ``max_train`` labelled documents (a documented bound
 the labels by hash of doc_id, in the order of that hash); scoring reads every whole text.
 
 Edge cases: a null or empty text has no features and gets the score of the bias alone; labels
-other than 0 and 1 are left out, the largest of several labels for one doc_id counts; rows with
-a null doc_id are scored and never held out; no labels give a score of 0.5 less a little
-(predicted 0); repeated rows are scored alike; extra columns are ignored.
+other than 0 and 1 are left out, the largest of several labels for one doc_id counts; of rows
+that share a labelled doc_id the smallest text is learned, once; rows with a null doc_id are
+scored and never held out; where the documents learned from don't have both labels nothing is
+learned, every score is 0 (predicted 0) and no document is rejected; repeated rows are scored
+alike; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WordHash, as_bytes, pair, small_batches, table
+from .common import WordHash, as_bytes, pair, portions, table
 
 ENDS = b".,;:!?\"'()[]{}<>*#%&$|-_"
 
@@ -54,7 +56,8 @@ class Rates:
 
 @dataclass(frozen=True)
 class Weights:
-    """bits: log2 of the buckets; bucket 2**bits is the bias."""
+    """bits: log2 of the buckets; bucket 2**bits is the bias. Without any weight nothing was
+    learned, and every score is 0."""
 
     bits: int
     buckets: np.ndarray
@@ -65,6 +68,17 @@ class Weights:
         out[self.buckets] = self.values
         return out
 
+    def score(self, text: bytes, dense: np.ndarray) -> float:
+        if not len(self.buckets):
+            return 0.0
+        i = buckets_of(text, self.bits)
+        i = np.unique(i[dense[i] != 0])
+        return logistic(float(dense[i].sum() + dense[-1]))
+
+
+def logistic(x: float) -> float:
+    return 1.0 / (1.0 + math.exp(-max(-35.0, min(35.0, x))))
+
 
 def buckets_of(text: bytes, bits: int) -> np.ndarray:
     h = _words.of(text.split())
@@ -86,7 +100,7 @@ def ftrl(rows: list[tuple[np.ndarray, int]], bits: int, rates: Rates) -> np.ndar
     for _ in range(rates.epochs):
         for i, y in rows:
             w = weight(i)
-            g = 1.0 / (1.0 + math.exp(-max(-35.0, min(35.0, float(w.sum()))))) - y
+            g = logistic(float(w.sum())) - y
             sigma = (np.sqrt(n[i] + g * g) - np.sqrt(n[i])) / rates.alpha
             z[i] += g - sigma * w
             n[i] += g * g
@@ -96,10 +110,11 @@ def ftrl(rows: list[tuple[np.ndarray, int]], bits: int, rates: Rates) -> np.ndar
 def _fit(bits: int, rates: Rates):
     def fit(batches):
         rows = []
-        for batch in batches:
+        for batch in portions(batches):
             for text, y in zip(as_bytes(batch.column("text")), batch.column("y").to_pylist()):
                 rows.append((np.append(np.unique(buckets_of(text, bits)), 1 << bits).astype(np.int32), y))
-        w = ftrl(rows, bits, rates)
+        both = len({y for _, y in rows}) == 2
+        w = ftrl(rows, bits, rates) if both else np.zeros(0)
         found = np.flatnonzero(w)
         yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int64)), pa.array(w[found])], ["bucket", "weight"])
 
@@ -108,14 +123,10 @@ def _fit(bits: int, rates: Rates):
 
 def _score(model: Weights):
     def score(batches):
-        w = model.dense()
-        for batch in batches:
-            out = []
-            for text in as_bytes(batch.column("text")):
-                i = buckets_of(text, model.bits)
-                i = np.unique(i[w[i] != 0])
-                out.append(1.0 / (1.0 + math.exp(-max(-35.0, min(35.0, float(w[i].sum() + w[-1]))))))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in batch.schema.names if c != "text"), pa.array(out)], [*(c for c in batch.schema.names if c != "text"), "score"])
+        dense = model.dense()
+        for batch in portions(batches):
+            out = [model.score(text, dense) for text in as_bytes(batch.column("text"))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in batch.schema.names if c != "text"), pa.array(out, pa.float64())], [*(c for c in batch.schema.names if c != "text"), "score"])
 
     return score
 
@@ -131,8 +142,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, max_train: int = 16_000, bi
     share = min(1.0, 0.95 * max_train / max(1, there))
     chosen = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
     # at most about max_train rows of two numbers, so this side may go to every task
-    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    ordered = texts.repartition(1).sortWithinPartitions(F.xxhash64(F.col("doc_id"), F.lit(3)), "doc_id", F.xxhash64("text"))
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"), F.first("y").alias("y"))
+    ordered = texts.repartition(1).sortWithinPartitions(F.xxhash64(F.col("doc_id"), F.lit(3)), "doc_id")
     found = ordered.select("text", "y").mapInArrow(_fit(bits, rates), "bucket long, weight double").toPandas()
     return Weights(bits, found["bucket"].to_numpy(np.int64), found["weight"].to_numpy(float))
 
@@ -150,7 +161,6 @@ def reject_toxic(docs: DataFrame, model: Weights, threshold: float = 0.5) -> Dat
 
 
 def op3_ftrl_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    small_batches(spark)
     docs = table(spark, sf_dir, "documents")
     scored = score_toxicity(docs, fit_toxicity(docs, table(spark, sf_dir, "labels")))
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

@@ -1,3 +1,4 @@
+import math
 import random
 import re
 import zlib
@@ -51,12 +52,63 @@ def test_toxicity_edges(spark, edge, nothing, labelled):
     assert len(scores) == len(edge_texts()) and all(0 <= r["score"] <= 1 for r in scores)
     assert score_toxicity(nothing, model).collect() == []
     unlabelled = spark.createDataFrame([], "doc_id long, quality int, toxic int")
-    assert {r["score"] for r in score_toxicity(edge, fit_toxicity(edge, unlabelled)).collect()} == {0.5}
+    one_kind = spark.createDataFrame([(i, 1, 1) for i in range(60)], "doc_id long, quality int, toxic int")
+    for labels in (unlabelled, one_kind):
+        untrained = fit_toxicity(edge, labels)
+        assert {r["score"] for r in score_toxicity(edge, untrained).collect()} == {0.0}
+        assert reject_toxic(edge, untrained).count() == len(edge_texts())
     kept = reject_toxic(edge, model)
     assert kept.columns == edge.columns and kept.count() == len(edge_texts())
     assert reject_toxic(labelled[0].withColumn("score", F.lit("x")), model).count() < 700
 
 
+def test_a_labelled_document_is_learned_once_however_often_it_is_repeated(labelled):
+    docs, labels = labelled
+    a, b = fit_toxicity(docs, labels), fit_toxicity(docs.unionByName(docs.where("doc_id < 40")).unionByName(docs), labels)
+    assert np.array_equal(a.buckets, b.buckets) and np.array_equal(a.values, b.values)
+
+
+def plain_ftrl(rows, rates):
+    """Coordinate by coordinate, as the method's paper states it."""
+    z, n = Counter(), Counter()
+
+    def weight(i, bias):
+        l1 = 0.0 if i == bias else rates.l1
+        if abs(z[i]) <= l1:
+            return 0.0
+        return -(z[i] - math.copysign(l1, z[i])) / ((rates.beta + math.sqrt(n[i])) / rates.alpha + rates.l2)
+
+    bias = max(i for x, _ in rows for i in x)
+    for _ in range(rates.epochs):
+        for x, y in rows:
+            w = {i: weight(i, bias) for i in x}
+            g = 1 / (1 + math.exp(-sum(w.values()))) - y
+            for i in x:
+                sigma = (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / rates.alpha
+                z[i] += g - sigma * w[i]
+                n[i] += g * g
+    return {i: weight(i, bias) for i in list(n)}
+
+
+def test_ftrl_equals_the_plain_form():
+    r = random.Random(8)
+    rows = [(np.asarray(sorted(r.sample(range(256), 9)) + [256], np.int32), r.randrange(2)) for _ in range(300)]
+    rates = Rates(alpha=0.7, beta=0.9, l1=0.6, l2=0.1, epochs=3)
+    got, want = ftrl(rows, 8, rates), plain_ftrl([(x.tolist(), y) for x, y in rows], rates)
+    assert 20 < sum(w == 0 for w in want.values()) < 240
+    assert np.allclose(got, [want.get(i, 0.0) for i in range(257)], rtol=1e-9, atol=1e-12)
+
+
+def test_toxicity_of_held_out_labels(spark):
+    """On the tables' own labels, those that the fit never sees. With 352 toxic documents to
+    learn from, 80 of 97 were found and none of the 728 others."""
+    docs, labels = (table(spark, "/root/testdata/sf0.1", name) for name in ("documents", "labels"))
+    rows = score_toxicity(docs, fit_toxicity(docs, labels)).join(labels, "doc_id").where(held_out()).collect()
+    hits = Counter((r["toxic"], int(r["score"] >= 0.5)) for r in rows)
+    assert len(rows) > 500
+    assert hits[1, 1] >= 0.8 * (hits[1, 1] + hits[1, 0]) and hits[0, 0] >= 0.99 * (hits[0, 0] + hits[0, 1])
+
+
 def test_held_out_is_the_crc(edge):
     for r in edge.select("doc_id", held_out().alias("h")).collect():
         assert r["h"] == (r["doc_id"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0)

@@ -50,6 +50,14 @@ def test_stages_of_nothing(spark, tmp_path):
         assert now.count() == 0
 
 
+def test_without_labels_no_document_is_rejected(spark, tmp_path):
+    _, docs = corpus(spark)
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    assert corpus_pipeline.toxicity(spark, docs, str(tmp_path)).count() == docs.count()
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
+
+
 def test_rejected_documents_go(spark, tmp_path):
     rows = [(i, prose(i, 40) + (" hatefulword vileword" if i % 3 == 0 else "")) for i in range(400)]
     docs = frame(spark, rows)
