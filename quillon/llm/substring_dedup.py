@@ -1,117 +1,196 @@
 """Substring dedup by level-wise doubling of repeated word windows.
 
-Level 1 (half a window): of every 2k-word window the k-word window of smallest hash is its
-anchor. Equal windows have equal anchors at equal places, so anchors seen in one document
-alone end here, and with them every 2k-word window that they stand for. Level 2 (the whole
-window) looks at the survivors only. Anchors whose surroundings (all words of the 2k-word
-windows they stand for) are the same in every document are settled at once: all those
-windows are repeated. For the rest, the 2k-word windows themselves are hashed and counted.
-Nothing longer is asked for, so the doubling ends at 2k. Groups are only ever reduced to the
-smallest doc_id by map-side aggregation. What is joined back is one row per key, written first:
-Spark can then split a hot key's many rows, which it can't below an aggregation.
-
-Two 64-bit hashes (anchor and surroundings) must agree before the windows of a settled anchor
-count as repeated; for the rest the window's one 64-bit hash decides.
-
-Edge cases: null texts have no words; documents under 2k words keep everything; rows with a
-null doc_id keep everything and cause no removal; rows that share a doc_id don't remove
-words from each other; extra columns are ignored; an empty table gives no rows.
+The levels are lengths that double up to the window: 7, 13, 25 and 50 words for 50. On each
+level every live window is stood for by its anchor, the run of that length inside it whose hash
+is smallest. Equal windows have equal anchors at equal places, so a window whose anchor is seen
+in one document alone is dropped there; the others live on and are looked at again at twice the
+length, where they may get other anchors. The last level is the window itself, and nothing
+survives that: its windows are repeated or not. An anchor whose surroundings (all words of the
+live windows it stands for) are the same wherever it occurs needs no further level: all those
+windows are repeated. When a level leaves no open anchor the doubling ends.
+
+A window counts as repeated only where two independent 64-bit polynomial hashes of all its words
+(or of its anchor's whole surroundings) agree, beside the anchor's own hash.
+
+Groups are only ever reduced to the smallest doc_id by map-side aggregation. What is joined
+back is one row per key, written first: Spark can then split a hot key's many rows, which it
+can't below an aggregation.
+
+Edge cases: null texts have no words; documents with fewer words than the window keep
+everything; rows with a null doc_id keep everything and cause no removal; rows that share a
+doc_id don't remove words from each other, and repeated ones cost as much as other rows; extra
+columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import hashlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from numpy.lib.stride_tricks import sliding_window_view
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHash, as_bytes, gram_hashes, mix, pair, small_batches, table, written
+from .common import MASK, as_bytes, identity, mix, portions, table, written
 
-ANCHORS = "doc_id long, row int, n_words long, kept_sha256 string, anchors array<struct<a:long,g:long,first:int,n:int>>"
+ROW = "doc_id long, r1 long, r2 long"
+ANCHOR = {"a": pa.int64(), "g1": pa.int64(), "g2": pa.int64(), "first": pa.int32(), "n": pa.int32()}
+FIELDS = "a:long,g1:long,g2:long,first:int,n:int"
 OUT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
-_words = WordHash(seed=5)
+SEGMENT = 1 << 16
+_BASES = (0x9E3779B97F4A7C15 & ~7 | 5, 0xD1342543DE82EF95 & ~7 | 5)
 
 
-def digest(words: list[bytes]) -> str:
-    return hashlib.sha256(b" ".join(words)).hexdigest()
+class WordTable(dict):
+    """word -> its place in two tables of independent 64-bit hashes, remembered up to a bound."""
+
+    def __init__(self, seed: int, most: int = 1 << 19):
+        super().__init__()
+        self.seed, self.most, self.lanes = seed, most, np.empty((2, most), np.uint64)
+
+    def __missing__(self, word: bytes) -> int:
+        value, place = xxhash.xxh3_128_intdigest(word, self.seed), len(self)
+        self.lanes[0, place], self.lanes[1, place] = value & MASK, value >> 64
+        self[word] = place
+        return place
+
+    def of(self, lists: list[list[bytes]]) -> np.ndarray:
+        """2 x words: both hashes of each word of the lists, one after the other."""
+        out = []
+        for words in lists:
+            for start in range(0, len(words), self.most):
+                part = words[start : start + self.most]
+                if len(self) + len(part) > self.most:
+                    self.clear()
+                    out = [self.lanes[:, x] if x.ndim == 1 else x for x in out]
+                out.append(np.fromiter(map(self.__getitem__, part), np.int32, len(part)))
+        return np.concatenate([np.zeros((2, 0), np.uint64), *(self.lanes[:, x] if x.ndim == 1 else x for x in out)], axis=1)
+
+
+_words = WordTable(seed=5)
+_powers = [np.ones(1, np.uint64) for _ in range(4)]
+
+
+def powers(n: int) -> list[np.ndarray]:
+    """The first n powers of both bases, and of their inverses modulo 2**64."""
+    if len(_powers[0]) < n:
+        size = max(n, 2 * len(_powers[0]))
+        for k, base in enumerate((*_BASES, *(pow(b, -1, 1 << 64) for b in _BASES))):
+            steps = np.full(size, base, np.uint64)
+            steps[0] = 1
+            _powers[k] = np.cumprod(steps)
+    return [p[:n] for p in _powers]
+
+
+class Polynomials:
+    """Two polynomial hashes of any run of words, by prefix sums."""
+
+    def __init__(self, lanes: np.ndarray):
+        n = lanes.shape[1]
+        *up, down1, down2 = powers(n + 1)
+        self.down = (down1, down2)
+        self.sums = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * p[:n])]) for h, p in zip(lanes, up)]
+
+    def of(self, lane: int, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+        return (self.sums[lane][stop] - self.sums[lane][start]) * self.down[lane][start]
 
+    def grams(self, size: int) -> np.ndarray:
+        """First hash of each run of ``size`` words."""
+        s = self.sums[0]
+        return mix((s[size:] - s[:-size]) * self.down[0][: len(s) - size]) if len(s) > size else s[:0]
 
-def halves_and_windows(words: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray]:
-    half = gram_hashes(_words.of(words), k)
-    return half, pair(half[:-k], half[k:])
 
+def lowest(grams: np.ndarray, width: int) -> np.ndarray:
+    """The place of the smallest (then leftmost) of each ``width`` neighbours."""
+    out, low = np.zeros(max(0, len(grams) - width + 1), np.int64), np.uint64((SEGMENT << 1) - 1)
+    for start in range(0, len(out), SEGMENT):
+        have = grams[start : start + SEGMENT + width - 1] & ~low
+        have, size, end = have | np.arange(len(have), dtype=np.uint64), 1, min(SEGMENT, len(out) - start)
+        while size * 2 <= width:
+            have, size = np.minimum(have[:-size], have[size:]), size * 2
+        if size < width:
+            have = np.minimum(have[: len(have) - (width - size)], have[width - size :])
+        out[start : start + end] = (have[:end] & low).astype(np.int64) + start
+    return out
 
-def anchors_of(half: np.ndarray, windows: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
-    """(anchor hash, hash of the surroundings, first window, number of windows) of each anchor."""
-    place = sliding_window_view(half, k + 1).argmin(axis=1) + np.arange(len(windows))
-    first = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
-    n = np.diff(np.r_[first, len(windows)])
-    inside = np.arange(len(windows)) - np.repeat(first, n)
-    with np.errstate(over="ignore"):
-        total = np.add.reduceat(mix(windows ^ mix(inside.astype(np.uint64) + np.uint64(1))), first)
-        around = mix(total + ((place[first] - first).astype(np.uint64) << np.uint64(32)) + n.astype(np.uint64))
-    return half[place[first]], around, first, n
 
+def anchors_of(lists: list[list[bytes]], live: np.ndarray, size: int, window: int) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """Anchors of ``size`` words of the live windows, given by their first words' places in all
+    lists one after the other: the places of their first windows; hash, surroundings, number of windows."""
+    hashes = Polynomials(_words.of(lists))
+    grams = hashes.grams(size)
+    place = lowest(grams, window - size + 1)[live]
+    begin = np.flatnonzero(np.r_[True, (place[1:] != place[:-1]) | (live[1:] != live[:-1] + 1)]) if len(live) else live
+    n = np.diff(np.r_[begin, len(live)])
+    first, place = live[begin], place[begin]
+    shape = mix(((place - first).astype(np.uint64) << np.uint64(32)) + n.astype(np.uint64))
+    around = [mix(hashes.of(k, first, first + n + window - 1) ^ shape) for k in (0, 1)]
+    return first, {"a": grams[place], "g1": around[0], "g2": around[1], "n": n}
+
+
+def runs(starts: list[int], counts: list[int]) -> np.ndarray:
+    """All numbers of the runs, ascending, once each."""
+    starts, counts = np.asarray(starts, np.int64), np.asarray(counts, np.int64)
+    inside = np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
+    return np.unique(np.repeat(starts, counts) + inside)
+
+
+def _arrow(found: dict[str, np.ndarray], first: np.ndarray) -> list[pa.Array]:
+    columns = found | {"first": first.astype(np.int32), "n": found["n"].astype(np.int32)}
+    return [pa.array(columns[c].view(np.int64) if t == pa.int64() else columns[c], t) for c, t in ANCHOR.items()]
+
+
+def digest(words: list[bytes]) -> str:
+    return hashlib.sha256(b" ".join(words)).hexdigest()
+
+
+def _first_level(size: int, window: int):
+    """Every window of every text is live."""
 
-def _find(k: int):
     def find(batches):
-        for batch in batches:
-            ids = batch.column("doc_id").to_pylist()
-            n_words, shas, sizes, parts = [], [], [], []
-            for doc_id, text in zip(ids, as_bytes(batch.column("text"))):
-                words = text.split()
-                n_words.append(len(words))
-                shas.append(digest(words))
-                if doc_id is None or len(words) < 2 * k:
-                    sizes.append(0)
-                    continue
-                parts.append(anchors_of(*halves_and_windows(words, k), k))
-                sizes.append(len(parts[-1][0]))
-            a, g, first, n = (np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, np.uint64) for i in range(4))
-            structs = pa.StructArray.from_arrays([pa.array(a.view(np.int64)), pa.array(g.view(np.int64)), pa.array(first.astype(np.int32)), pa.array(n.astype(np.int32))], ["a", "g", "first", "n"])
-            lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), structs)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), pa.array(n_words, pa.int64()), pa.array(shas, pa.string()), lists], ["doc_id", "row", "n_words", "kept_sha256", "anchors"])
+        for batch in portions(batches):
+            lists = [t.split() for t in as_bytes(batch.column("text"))]
+            sizes = np.asarray([len(w) for w in lists], np.int64)
+            at = np.cumsum(sizes) - sizes
+            windows = np.where(batch.column("doc_id").is_null().to_numpy(zero_copy_only=False), 0, np.maximum(0, sizes - window + 1))
+            first, found = anchors_of(lists, runs(at, windows), size, window)
+            doc = np.searchsorted(at + sizes, first, side="right")
+            ends = np.r_[0, np.cumsum(np.bincount(doc, minlength=len(lists)))].astype(np.int32)
+            anchors = pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays(_arrow(found, first - at[doc]), list(ANCHOR)))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "r1", "r2")), pa.array(sizes), pa.array([digest(w) for w in lists], pa.string()), anchors], ["doc_id", "r1", "r2", "n_words", "kept_sha256", "anchors"])
 
     return find
 
 
-def _windows(k: int):
-    """The 2k-word windows of unsettled anchors."""
+def _next_level(size: int, window: int):
+    """The windows of the spans are live."""
 
-    def windows(batches):
-        for batch in batches:
-            w, at, ids, rows = [], [], [], []
-            for doc_id, row, text, marks in zip(batch.column("doc_id").to_pylist(), batch.column("row").to_pylist(), as_bytes(batch.column("text")), batch.column("marks").to_pylist()):
-                spans = [np.arange(m["first"], m["first"] + m["n"]) for m in marks if m["open"]]
-                if spans:
-                    place = np.unique(np.concatenate(spans))
-                    w.append(halves_and_windows(text.split(), k)[1][place])
-                    at.append(place)
-                    ids.append(np.full(len(place), doc_id, np.int64))
-                    rows.append(np.full(len(place), row, np.int32))
-            if w:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(w).view(np.int64)), pa.array(np.concatenate(ids)), pa.array(np.concatenate(rows)), pa.array(np.concatenate(at).astype(np.int32))], ["w", "doc_id", "row", "at"])
+    def find(batches):
+        for batch in portions(batches):
+            lists = [t.split() for t in as_bytes(batch.column("text"))]
+            sizes = np.asarray([len(w) for w in lists], np.int64)
+            at = np.cumsum(sizes) - sizes
+            spans = [(int(a) + s["first"], s["n"]) for a, of in zip(at, batch.column("spans").to_pylist()) for s in of]
+            first, found = anchors_of(lists, runs(*zip(*spans)) if spans else np.zeros(0, np.int64), size, window)
+            doc = np.searchsorted(at + sizes, first, side="right")
+            rows = pa.array(doc)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(rows) for c in ("doc_id", "r1", "r2")), *_arrow(found, first - at[doc])], ["doc_id", "r1", "r2", *ANCHOR])
 
-    return windows
+    return find
 
 
-def _keep(k: int):
+def _keep(window: int):
     def keep(batches):
-        for batch in batches:
+        for batch in portions(batches):
             n_words, gone, shas = [], [], []
-            for text, marks, found in zip(as_bytes(batch.column("text")), batch.column("marks").to_pylist(), batch.column("found").to_pylist()):
+            for text, spans in zip(as_bytes(batch.column("text")), batch.column("spans").to_pylist()):
                 words = text.split()
                 edge = np.zeros(len(words) + 1, np.int64)
-                for m in marks:
-                    if not m["open"]:
-                        edge[m["first"]] += 1
-                        edge[m["first"] + m["n"] + 2 * k - 1] -= 1
-                if found:
-                    np.add.at(edge, np.asarray(found), 1)
-                    np.add.at(edge, np.asarray(found) + 2 * k, -1)
+                for s in spans or ():
+                    edge[s["first"]] += 1
+                    edge[s["first"] + s["n"] + window - 1] -= 1
                 covered = np.cumsum(edge[:-1]) > 0
                 n_words.append(len(words))
                 gone.append(int(covered.sum()))
@@ -121,30 +200,55 @@ def _keep(k: int):
     return keep
 
 
-def substring_dedup(docs: DataFrame, window: int = 50) -> DataFrame:
-    """doc_id, n_words, n_removed and the digest of the kept words. ``window`` is even."""
-    if window < 4 or window % 2:
-        raise ValueError("window must be even and at least 4")
-    k = window // 2
-    rows = docs.select("doc_id", F.hash("text").alias("row"), "text")
-    level1 = written(rows.mapInArrow(_find(k), ANCHORS), "anchors")
-    anchors = level1.select("doc_id", "row", F.inline("anchors"))
-    repeated = anchors.groupBy("a").agg(F.min("doc_id").alias("min_doc"), F.max("doc_id").alias("max_doc"), (F.min("g") != F.max("g")).alias("open"))
-    repeated = written(repeated.where("min_doc < max_doc").select("a", "min_doc", "open"), "repeated")
-    survivors = anchors.select("a", "doc_id", "row", "first", "n").join(repeated, "a").where("open or doc_id > min_doc")
-    marks = survivors.groupBy("doc_id", "row").agg(F.collect_list(F.struct("first", "n", "open")).alias("marks"))
-    marked = written(rows.join(marks, ["doc_id", "row"]), "marked")
-    level2 = written(marked.mapInArrow(_windows(k), "w long, doc_id long, row int, at int"), "windows")
-    again = level2.groupBy("w").agg(F.min("doc_id").alias("min_doc"), F.max("doc_id").alias("max_doc")).where("min_doc < max_doc")
-    again = written(again.select("w", "min_doc"), "again")
-    found = level2.join(again, "w").where("doc_id > min_doc").groupBy("doc_id", "row").agg(F.collect_set("at").alias("found"))
-    changed = marked.join(found, ["doc_id", "row"], "left").mapInArrow(_keep(k), OUT)
-    same = level1.select("doc_id", "row", "n_words", "kept_sha256").join(marked.select("doc_id", "row").distinct(), ["doc_id", "row"], "left_anti")
+def level_sizes(window: int, least: int = 7) -> list[int]:
+    """Lengths of the levels: halves, rounded up, down to ``least``."""
+    sizes = [window]
+    while sizes[-1] > least and -(-sizes[-1] // 2) >= min(least, 4):
+        sizes.append(-(-sizes[-1] // 2))
+    return sizes[::-1]
+
+
+def substring_dedup(docs: DataFrame, window: int = 50, least: int = 7, trace: list[tuple[int, int, int]] | None = None) -> DataFrame:
+    """doc_id, n_words, n_removed and the digest of the kept words. Into ``trace``, if one is
+    given, goes (length, anchors, anchors that are still open) of each level."""
+    if window < 2:
+        raise ValueError("window must be at least 2")
+    key, sizes = ["doc_id", "r1", "r2"], level_sizes(window, least)
+    rows = docs.select("doc_id", *identity(), "text")
+    all_rows = written(rows.mapInArrow(_first_level(sizes[0], window), f"{ROW}, n_words long, kept_sha256 string, anchors array<struct<{FIELDS}>>"), "anchors")
+    anchors, texts, marked, settled = all_rows.select(*key, F.inline("anchors")), rows, None, []
+    for size, following in zip(sizes, [*sizes[1:], None]):
+        by = ["a"] if following else ["a", "g1", "g2"]
+        differ = (F.min("g1") != F.max("g1")) | (F.min("g2") != F.max("g2"))
+        groups = anchors.groupBy(*by).agg(F.min("doc_id").alias("least_doc"), F.max("doc_id").alias("most_doc"), (differ if following else F.lit(False)).alias("open"))
+        repeated = written(groups.where("least_doc < most_doc").select(*by, "least_doc", "open"), "repeated")
+        alive = anchors.join(repeated, by).where("open or doc_id > least_doc").select(*key, "first", "n", "open")
+        still_open = not repeated.where("open").isEmpty()
+        if trace is not None:
+            trace.append((size, anchors.count(), alive.where("open").count()))
+        spans = alive.groupBy(*key).agg(F.collect_set(F.struct("first", "n", "open")).alias("marks"))
+        if marked is None:
+            marked = written(texts.join(spans, key), "marked")
+            settled.append(marked.select(*key, F.explode("marks").alias("m")).where("not m.open"))
+            texts = marked.withColumn("spans", F.filter("marks", lambda m: m["open"])).where(F.size("spans") > 0).drop("marks")
+        else:
+            spans = written(spans, "spans")
+            settled.append(spans.select(*key, F.explode("marks").alias("m")).where("not m.open"))
+            open_spans = spans.select(*key, F.filter("marks", lambda m: m["open"]).alias("spans")).where(F.size("spans") > 0)
+            texts = marked.select(*key, "text").join(open_spans, key)
+        if not still_open or not following:
+            break
+        anchors = written(texts.select(*key, "text", "spans").mapInArrow(_next_level(following, window), f"{ROW}, {FIELDS.replace(':', ' ')}"), "anchors")
+    removed = settled[0]
+    for more in settled[1:]:
+        removed = removed.unionByName(more)
+    removed = written(removed.groupBy(*key).agg(F.collect_set(F.struct("m.first", "m.n")).alias("spans")), "removed")
+    changed = marked.select(*key, "text").join(removed, key).select("doc_id", "text", "spans").mapInArrow(_keep(window), OUT)
+    same = all_rows.select(*key, "n_words", "kept_sha256").join(removed.select(*key), key, "left_anti")
     return changed.unionByName(same.select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), "kept_sha256"))
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    small_batches(spark)
     return substring_dedup(table(spark, sf_dir, "documents"))
 
 
