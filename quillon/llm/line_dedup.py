@@ -26,9 +26,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WordHash, as_bytes, gram_hashes, mix, small_batches, table, written
+from .common import WordHash, as_bytes, gram_hashes, identity, mix, portions, table, written
 
-CHUNKS = "doc_id long, row int, chunks array<struct<h:long,k:int>>"
+KEY = ["doc_id", "r1", "r2"]
+ROW = "doc_id long, r1 long, r2 long"
+CHUNKS = f"{ROW}, chunks array<struct<h:long,k:int>>"
 LIST = T.ArrayType(T.IntegerType())
 _lines = WordHash(seed=1, most=1 << 16)
 
@@ -70,32 +72,33 @@ def _hash(chunk: bytes) -> int:
 
 def _digests(how: tuple[int, int, int]):
     def digests(batches):
-        for batch in batches:
+        for batch in portions(batches):
             out = []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), as_bytes(batch.column("text"))):
                 out.append([] if doc_id is None else [{"h": _hash(c), "k": k} for k, c in enumerate(chunks_of(text, *how)) if removable(c)])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), pa.array(out, pa.list_(pa.struct([("h", pa.int64()), ("k", pa.int32())])))], ["doc_id", "row", "chunks"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in KEY), pa.array(out, pa.list_(pa.struct([("h", pa.int64()), ("k", pa.int32())])))], [*KEY, "chunks"])
 
     return digests
 
 
 def _bytes(how: tuple[int, int, int]):
     def bytes_of(batches):
-        for batch in batches:
-            out: list[list] = [[], [], [], [], []]
-            for doc_id, row, text, ks in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "row")), as_bytes(batch.column("text")), batch.column("ks").to_pylist()):
+        for batch in portions(batches):
+            out: list[list] = [[], [], [], []]
+            for i, (text, ks) in enumerate(zip(as_bytes(batch.column("text")), batch.column("ks").to_pylist())):
                 chunks = chunks_of(text, *how)
-                for k in set(ks):
-                    for column, x in zip(out, (doc_id, row, k, _hash(chunks[k]), chunks[k])):
+                for k in ks:
+                    for column, x in zip(out, (i, k, _hash(chunks[k]), chunks[k])):
                         column.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary()))], ["doc_id", "row", "k", "h", "chunk"])
+            rows, *columns = (pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int32(), pa.int64(), pa.binary())))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(rows) for c in KEY), *columns], [*KEY, "k", "h", "chunk"])
 
     return bytes_of
 
 
 def _rest(how: tuple[int, int, int]):
     def rest(batches):
-        for batch in batches:
+        for batch in portions(batches):
             texts, n_lines, gone = [], [], []
             for null, text, ks in zip(batch.column("text").is_null().to_pylist(), as_bytes(batch.column("text")), batch.column("gone").to_pylist()):
                 chunks, drop = chunks_of(text, *how), set(ks or ())
@@ -112,19 +115,19 @@ def _rest(how: tuple[int, int, int]):
 def line_dedup(docs: DataFrame, rolling: int = 2, one_in: int = 2, most: int = 64) -> DataFrame:
     """The rows of ``docs`` as doc_id, text, kept (a struct of the other columns), n_lines, n_removed_lines."""
     how = (rolling, one_in, most)
-    rows = docs.select("doc_id", F.hash("text").alias("row"), "text")
+    rows = docs.select("doc_id", *identity(), "text")
     digests = written(rows.mapInArrow(_digests(how), CHUNKS), "line-chunks")
-    chunks = digests.select("doc_id", "row", F.inline("chunks"))
+    chunks = digests.select(*KEY, F.inline("chunks"))
     first = written(chunks.groupBy("h").agg(F.min(F.struct("doc_id", "k")).alias("at"), F.count("*").alias("n")).where("n > 1").select("h", "at"), "line-first")
-    candidates = chunks.join(first, "h").groupBy("doc_id", "row").agg(F.collect_list("k").alias("ks"))
-    repeated = written(rows.join(candidates, ["doc_id", "row"]).mapInArrow(_bytes(how), "doc_id long, row int, k int, h long, chunk binary"), "line-bytes")
+    candidates = chunks.join(first, "h").groupBy(*KEY).agg(F.collect_set("k").alias("ks"))
+    repeated = written(rows.join(candidates, KEY).mapInArrow(_bytes(how), f"{ROW}, k int, h long, chunk binary"), "line-bytes")
     copies = repeated.join(first, "h")
     at = F.struct("doc_id", "k")
     originals = written(copies.where(at == F.col("at")).groupBy("h").agg(F.min("chunk").alias("original")), "line-originals")
     same = copies.where(at > F.col("at")).join(originals, "h").where(F.col("chunk") == F.col("original"))
-    gone = same.groupBy("doc_id", "row").agg(F.collect_set("k").alias("gone")).select(F.struct("doc_id", "row").alias("key"), "gone")
+    gone = same.groupBy(*KEY).agg(F.collect_set("k").alias("gone")).select(F.struct(*KEY).alias("key"), "gone")
     others = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
-    keyed = docs.select("doc_id", "text", (F.struct(*others) if others else F.lit(None).cast("string")).alias("kept"), F.struct("doc_id", F.hash("text").alias("row")).alias("key"))
+    keyed = docs.select("doc_id", "text", (F.struct(*others) if others else F.lit(None).cast("string")).alias("kept"), F.struct("doc_id", *identity()).alias("key"))
     joined = keyed.join(gone, "key", "left").select("doc_id", "kept", "text", "gone")
     schema = T.StructType([joined.schema["doc_id"], joined.schema["kept"], T.StructField("text", T.StringType()), T.StructField("n_lines", T.LongType()), T.StructField("n_removed_lines", T.LongType())])
     return joined.mapInArrow(_rest(how), schema)
@@ -132,6 +135,5 @@ def line_dedup(docs: DataFrame, rolling: int = 2, one_in: int = 2, most: int = 6
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_lines, n_removed_lines and the SHA-256 of what is kept."""
-    small_batches(spark)
     out = line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_lines", "n_removed_lines", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))

@@ -2,11 +2,12 @@ import hashlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quillon.llm.components import components
 from quillon.llm.line_dedup import chunks_of, line_dedup, removable
 from quillon.llm.near_dedup import bag, common_counts, elements, keep_one, near_duplicates, signatures, similarity
-from quillon.llm.substring_dedup import substring_dedup
+from quillon.llm.substring_dedup import WordTable, level_sizes, lowest, substring_dedup
 
 from .conftest import edge_texts, prose
 
@@ -44,6 +45,51 @@ def test_substring_windows_at_the_edges_of_a_passage(spark):
     assert sorted(map(tuple, substring_dedup(df).collect()), key=repr) == brute_substrings(texts, 50)
 
 
+def test_levels_double_and_end_when_none_survives(spark):
+    """Passages of 9, 20, 40 and 70 shared words: each lives on while the level's length allows it."""
+    assert level_sizes(50) == [7, 13, 25, 50] and level_sizes(8) == [4, 8] and level_sizes(2) == [2]
+    texts, open_at = [], {}
+    for k, size in enumerate((9, 20, 40, 70)):
+        passage = prose(300 + k, size).replace("\n", " ")
+        pair = [(10 * k + i, f"{prose(400 + 10 * k + i, 60)} {passage} {prose(500 + 10 * k + i, 60)}") for i in range(2)]
+        trace = []
+        df = spark.createDataFrame(pair, "doc_id long, text string")
+        assert sorted(map(tuple, substring_dedup(df, trace=trace).collect()), key=repr) == brute_substrings(pair, 50)
+        open_at[size] = [s for s, _, alive in trace if alive]
+        assert [s for s, *_ in trace] == [7, 13, 25, 50][: len(trace)] and trace[-1][2] == 0
+        texts += pair
+    assert open_at[9] in ([], [7]) and 25 not in open_at[20] and 50 not in open_at[70]
+    assert max(open_at[9], default=0) <= max(open_at[20], default=0) <= max(open_at[40], default=0)
+    trace = []
+    assert sorted(map(tuple, substring_dedup(spark.createDataFrame(texts, "doc_id long, text string"), trace=trace).collect()), key=repr) == brute_substrings(texts, 50)
+    survivors = [alive for *_, alive in trace]
+    assert survivors == sorted(survivors, reverse=True) and survivors[0] > survivors[-1] == 0
+
+
+def test_repeated_rows_of_one_document_cost_like_others(spark):
+    """5,000 rows of one doc_id: what is collected for a document doesn't grow with its rows."""
+    text = prose(31, 540)
+    rows = [(1, text)] * 4999 + [(2, text), (2, text + " and more words")]
+    for run, removed in ((lambda d: substring_dedup(d).groupBy("doc_id").agg(F.sum("n_removed").alias("n")), {1: 0, 2: 1080}), (lambda d: line_dedup(d).groupBy("doc_id").agg(F.sum("n_removed_lines").alias("n")), {1: 0})):
+        got = {r["doc_id"]: r["n"] for r in run(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+        assert {k: got[k] for k in removed} == removed and got[2] > 0
+
+
+def test_word_tables_forget_without_changing_hashes():
+    small, large = WordTable(5, most=8), WordTable(5)
+    lists = [[b"%d" % (i * k % 13) for i in range(n)] for k, n in ((1, 5), (7, 30), (3, 0), (5, 9))]
+    assert np.array_equal(small.of(lists), large.of(lists))
+
+
+def test_anchor_is_the_leftmost_smallest():
+    rng = np.random.default_rng(1)
+    x = rng.integers(0, 1 << 63, 200_000).astype(np.uint64)
+    at = lowest(x, 37)
+    pick = rng.integers(0, len(at), 2000)
+    low = np.uint64((1 << 17) - 1)
+    assert all(at[i] == i + np.argmin(x[i : i + 37] & ~low) for i in pick.tolist())
+
+
 def brute_lines(texts):
     seen, out = {}, []
     for i, t in texts:
