@@ -1,8 +1,10 @@
 """Connected components by alternating large-star and small-star steps.
 
-Edges stay distributed; every step is a map-side aggregation to one minimum per node and a
-join from many edges to that one row, and is written to the shared folder. Nothing but a
-count and a checksum of the edges comes to the driver.
+Edges stay distributed. Every step reduces each node's neighbours to one minimum by map-side
+aggregation and writes these minima before the many edges meet them: Spark then knows their
+size, sends small ones to all tasks and can split a node with very many edges, neither of which
+it can do on top of an aggregation. Nothing but a count and a checksum of the edges comes to
+the driver.
 """
 
 from __future__ import annotations
@@ -19,28 +21,29 @@ def _both(edges: DataFrame) -> DataFrame:
 
 def _large(edges: DataFrame) -> DataFrame:
     both = _both(edges)
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    least = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
     return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
 
 
 def _small(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
+    least = written(down.groupBy("u").agg(F.min("v").alias("m")), "least")
     moved = down.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).where("u != v").distinct()
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """edges (u, v) of any one orderable type; returns (node, root) of every node with an edge,
-    root the smallest node of its component."""
+    root the smallest node of its component, as a written table. An edge from a node to itself
+    or a null end is no edge; without edges there are no rows."""
     edges, before = written(edges.select("u", "v").where("u != v").distinct(), "edges"), None
     for _ in range(most_rounds):
-        edges = written(_small(_large(edges)), "edges")
+        edges = written(_small(written(_large(edges), "edges")), "edges")
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if now == before:
+        if now == before or not now[0]:
             break
         before = now
     else:
         raise RuntimeError("components did not converge")
     nodes = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    return nodes.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+    return written(nodes.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()), "roots")

@@ -8,7 +8,7 @@ of its first point. Two documents then agree in a component with the probability
 weighted Jaccard similarity. Points come in the order of time, so a process stops at the
 first point behind the largest component, and almost all stop after one or two points.
 
-Documents with equal multisets form one node. Nodes that share a band are candidates: first
+Documents with equal multisets form one node, with a number of its own. Nodes that share a band are candidates: first
 each with its bucket's hub, the node that shares most buckets; then, where the verified links
 leave a bucket with several classes, every pair between those classes. In buckets of more
 than ``few`` nodes those outside the largest class meet all others in tiles of bounded size,
@@ -17,7 +17,8 @@ verified on the whole texts, classes are the components of verified links.
 
 Edge cases: null and empty texts have no shingle and are alone; under five words, the whole
 word sequence is the one shingle; rows with a null doc_id are alone (class_id null); rows that
-share doc_id and text are one document; extra columns are ignored; no rows give no rows.
+share doc_id and text (told apart by 128 bits of it) are one document; extra columns are
+ignored; no rows give no rows.
 """
 
 from __future__ import annotations
@@ -30,10 +31,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHash, as_bytes, gram_hashes, mix, pair, small_batches, table, written
+from .common import WordHash, as_bytes, gram_hashes, identity, mix, pair, portions, table, written
 from .components import components
 
-SIGNED = "doc_id long, row int, key binary, n long, bands array<long>"
+KEY = ["doc_id", "r1", "r2"]
+SIGNED = "doc_id long, r1 long, r2 long, key binary, n long, bands array<long>"
 _words = WordHash(seed=7)
 _STEP, _PART, _LEVEL = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)
 
@@ -78,7 +80,7 @@ def band_hashes(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 def _sign(bands: int, rows: int):
     def sign(batches):
-        for batch in batches:
+        for batch in portions(batches):
             bags = [bag(t.split()) for t in as_bytes(batch.column("text"))]
             filled = [i for i, (h, _) in enumerate(bags) if len(h)]
             keys = [hashlib.blake2b(h.tobytes() + c.tobytes(), digest_size=16).digest() if len(h) else None for h, c in bags]
@@ -91,7 +93,7 @@ def _sign(bands: int, rows: int):
             sizes = np.zeros(len(bags) + 1, np.int32)
             sizes[np.asarray(filled, int) + 1] = bands
             lists = pa.ListArray.from_arrays(pa.array(np.cumsum(sizes).astype(np.int32)), pa.array(np.ascontiguousarray(found).reshape(-1).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), pa.array(keys, pa.binary()), pa.array(n, pa.int64()), lists], ["doc_id", "row", "key", "n", "bands"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in KEY), pa.array(keys, pa.binary()), pa.array(n, pa.int64()), lists], [*KEY, "key", "n", "bands"])
 
     return sign
 
@@ -105,7 +107,7 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
 def _verify(threshold: float):
     def verify(batches):
         last, bag_b = None, None
-        for batch in batches:
+        for batch in portions(batches, "text_u"):
             us, vs = batch.column("u"), batch.column("v")
             good = []
             for ta, tb in zip(as_bytes(batch.column("text_u")), as_bytes(batch.column("text_v"))):
@@ -155,14 +157,14 @@ def _tile(threshold: float):
             na, nb = np.asarray([len(x) for x in a], float), np.asarray([len(x) for x in b], float)
             common = common_counts(a, b)
             alike = common >= threshold * (na[:, None] + nb[None, :] - common) - 1e-6
-            root_a, node_a, root_b, node_b = ([(r["doc_id"], r["row"]) for r in side[c]] for side in (left, right) for c in ("root", "node"))
+            root_a, node_a, root_b, node_b = (side[c].to_numpy(np.int64) for side in (left, right) for c in ("root", "node"))
             for i in np.flatnonzero(alike.any(axis=1)):
                 seen = {root_a[i]}
                 for j in np.flatnonzero(alike[i]):
                     if root_b[j] not in seen:
                         seen.add(root_b[j])
-                        found.append((*node_a[i], *node_b[j]))
-        return pd.DataFrame(np.asarray(found, np.int64).reshape(-1, 4), columns=["ud", "ur", "vd", "vr"])
+                        found.append((node_a[i], node_b[j]))
+        return pd.DataFrame(np.asarray(found, np.int64).reshape(-1, 2), columns=["u", "v"])
 
     return tile
 
@@ -178,19 +180,18 @@ def _across_classes(crowds: DataFrame, text: DataFrame, threshold: float, tile:
     columns = ["band", "i", "j", "node", "root", "text"]
     left = rows.where("root != main").withColumn("i", cell("high")).withColumn("j", every("wide")).select(*columns)
     right = rows.withColumn("j", cell("wide")).withColumn("i", every("high")).select(*(F.col(c).alias(c) for c in columns))  # attributes of its own
-    found = left.groupBy("band", "i", "j").cogroup(right.groupBy("band", "i", "j")).applyInPandas(_tile(threshold), "ud long, ur int, vd long, vr int")
-    end = lambda d, r: F.struct(F.col(d).alias("doc_id"), F.col(r).alias("row"))
-    return found.select(end("ud", "ur").alias("u"), end("vd", "vr").alias("v"))
+    return left.groupBy("band", "i", "j").cogroup(right.groupBy("band", "i", "j")).applyInPandas(_tile(threshold), "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = 20, rows: int = 4, few: int = 32) -> DataFrame:
-    """doc_id, row (hash of the text, tells apart rows that share a doc_id), class_id (smallest
+    """doc_id, r1, r2 (hashes of the text, tell apart rows that share a doc_id), class_id (smallest
     doc_id of the class) and kept (true for the one document of the class that stays)."""
-    source = docs.select("doc_id", F.hash("text").alias("row"), "text")
+    source = docs.select("doc_id", *identity(), "text")
     signed = written(source.mapInArrow(_sign(bands, rows), SIGNED), "signatures")
-    node = F.struct("doc_id", "row")
     keyed = signed.where("key is not null and doc_id is not null")
-    reps = written(keyed.groupBy("key").agg(F.min(node).alias("node"), F.first("n").alias("n"), F.first("bands").alias("bands")), "nodes")
+    reps = keyed.groupBy("key").agg(F.min(F.struct(*KEY)).alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    # the numbers are fixed by this write: later steps read the files
+    reps = written(reps.select(F.monotonically_increasing_id().alias("node"), "key", "rep", "n", "bands"), "nodes")
     buckets = reps.select("node", "n", F.explode("bands").alias("band"))
     sizes = written(buckets.groupBy("band").agg(F.count("*").alias("size")).where("size > 1"), "sizes")
     crowded = written(buckets.join(sizes, "band"), "buckets")
@@ -200,14 +201,15 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = 20, ro
     ends = crowded.join(hubs, "band").where(close).select(F.greatest("node", "hub.node").alias("u"), F.least("node", "hub.node").alias("v"))
     tried = written(ends.distinct(), "pairs")
     wanted = tried.select(F.col("u").alias("node")).unionByName(tried.select(F.col("v").alias("node"))).unionByName(crowded.where("size > 2").select("node")).distinct()
-    text = written(source.join(wanted.select("node.*"), ["doc_id", "row"]).dropDuplicates(["doc_id", "row"]).select(node.alias("node"), "text"), "candidates")
+    asked = written(reps.join(wanted, "node").select("node", "rep.*"), "wanted")
+    text = written(source.join(asked, KEY).dropDuplicates(KEY).select("node", "text"), "candidates")
 
     def links(pairs: DataFrame) -> DataFrame:
         both = pairs.join(text.select(F.col("node").alias("u"), F.col("text").alias("text_u")), "u").join(text.select(F.col("node").alias("v"), F.col("text").alias("text_v")), "v")
-        return written(both.select("u", "v", "text_u", "text_v").mapInArrow(_verify(threshold), pairs.select("u", "v").schema), "links")
+        return written(both.select("u", "v", "text_u", "text_v").mapInArrow(_verify(threshold), "u long, v long"), "links")
 
     found = links(tried)
-    roots = written(components(found), "roots")
+    roots = components(found)
     in_class = crowded.where("size > 2").join(roots, "node", "left").select("band", "size", "node", "n", F.coalesce("root", "node").alias("root"))
     mixed = written(in_class.groupBy("band").agg((F.min("root") != F.max("root")).alias("mixed")).where("mixed").select("band"), "mixed")
     open_buckets = written(in_class.join(mixed, "band"), "open")
@@ -217,21 +219,25 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = 20, ro
     rest = across.select(F.col("a.node").alias("u"), F.col("b.node").alias("v")).distinct().join(tried, ["u", "v"], "left_anti")
     more = links(written(rest, "pairs")).unionByName(_across_classes(open_buckets.where(F.col("size") > few), text, threshold))
     more = written(more, "more-links")
-    roots = written(components(found.unionByName(more)), "roots") if not more.isEmpty() else roots
-    rooted = reps.select("key", "node").join(roots, "node", "left").select("key", F.coalesce("root", "node").alias("root"))
-    joined = signed.select("doc_id", "row", F.when(F.col("doc_id").isNotNull(), F.col("key")).alias("key")).join(rooted, "key", "left")
-    alone = F.col("root").isNull()
-    return joined.select("doc_id", "row", F.when(alone, F.col("doc_id")).otherwise(F.col("root.doc_id")).alias("class_id"), (alone | (node == F.col("root"))).alias("kept"))
+    roots = components(found.unionByName(more)) if not more.isEmpty() else roots
+    rooted = written(reps.select("node", "key", "rep").join(roots, "node", "left").select("key", "rep", F.coalesce("root", "node").alias("root")), "rooted")
+    least = written(rooted.groupBy("root").agg(F.min("rep").alias("first")), "classes")
+    classed = written(rooted.join(least, "root").select("key", "first"), "classed")
+    joined = signed.select(*KEY, F.when(F.col("doc_id").isNotNull(), F.col("key")).alias("key")).join(classed, "key", "left")
+    alone = F.col("first").isNull()
+    return joined.select(*KEY, F.when(alone, F.col("doc_id")).otherwise(F.col("first.doc_id")).alias("class_id"), (alone | (F.struct(*KEY) == F.col("first"))).alias("kept"))
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` but those whose class another document stands for."""
-    gone = near_duplicates(docs, **options).where("not kept").select(F.struct("doc_id", "row").alias("key"), F.lit(True).alias("gone")).distinct()
-    once = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())
-    rows = docs.select(F.struct("doc_id", F.hash("text").alias("row")).alias("key"), once.alias("once"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("all"))
-    return rows.join(gone, "key", "left_anti").dropDuplicates(["key", "once"]).select("all.*")
+    """The rows of ``docs`` but those whose class another document stands for. Of rows that are
+    one document (equal doc_id and text) the one whose other columns come first as JSON stays."""
+    key, others = F.struct("doc_id", *identity()).alias("key"), [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+    gone = written(near_duplicates(docs, **options).where("not kept").select(F.struct(*KEY).alias("key")).distinct(), "gone")
+    once = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id()).alias("once")
+    order = (F.to_json(F.struct(*others)) if others else F.lit("")).alias("order")
+    rows = docs.select(key, once, order, F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("all"))
+    return rows.join(gone, "key", "left_anti").groupBy("key", "once").agg(F.min_by("all", "order").alias("all")).select("all.*")
 
 
 def op7_bag_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    small_batches(spark)
     return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "kept")
