@@ -4,8 +4,13 @@ Reading: archives are cut into byte ranges of a fixed length, a task per range.
 for gzip's magic bytes, and takes a place for a member if decoding from there gives a WARC
 version line and well-formed headers; magic bytes inside compressed data fail that. A record
 belongs to the range in which it starts and is read to its end, wherever that lies; from
-there the next member is known without a search. A damaged member is skipped and the search
-goes on behind its magic bytes.
+there the next member is known without a search. A member that starts as a record but can't be
+decoded to its end is damaged: it is skipped, the search goes on behind its magic bytes, and on
+request it is returned as a row of its own, so that losses can be counted.
+
+A response's block is an HTTP head and the payload; a revisit has the standard's profile for
+equal payload digests and an empty block. Readers get the payload without its HTTP head; a
+transfer coding that foreign archives may have kept is left as it is.
 
 Files are reached through pyarrow's file systems by their URI, so any shared store it knows
 will do; they are written under the shared folder with the attempt's own name, and only the
@@ -34,6 +39,9 @@ VERSION = b"WARC/1.0\r\n"
 MANIFEST = "path string, size long, records long"
 RECORDS = "path string, offset long, record_type string, uri string, record_id string, refers_to string, payload_bytes long, payload_digest string, payload binary, intact boolean"
 CHUNK = 1 << 20
+#: The standard's name for revisits of equal payloads, and a plain HTTP head.
+SAME_PAYLOAD = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
+HTTP_HEAD = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n"
 
 
 def file_system(uri: str):
@@ -46,11 +54,13 @@ def file_system(uri: str):
 
 def record_bytes(kind: str, uri: str, record_id: str, refers_to: str | None, payload: bytes, n_bytes: int, digest: str, level: int) -> bytes:
     """One gzip member. A revisit has the digest and length of its payload, not the payload."""
-    block = b"" if kind == "revisit" else payload
+    block = b"" if kind == "revisit" else HTTP_HEAD % len(payload) + payload
     head = [f"WARC-Type: {kind}", f"WARC-Record-ID: <{record_id}>", "WARC-Date: 1970-01-01T00:00:00Z", f"WARC-Target-URI: {uri}", f"WARC-Payload-Digest: sha256:{digest}", f"X-Payload-Length: {n_bytes}"]
+    if kind == "revisit":
+        head.append(f"WARC-Profile: {SAME_PAYLOAD}")
     if refers_to is not None:
         head.append(f"WARC-Refers-To: <{refers_to}>")
-    head += ["Content-Type: text/html; charset=utf-8", f"Content-Length: {len(block)}"]
+    head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
     packer = zlib.compressobj(level, zlib.DEFLATED, 31)
     return packer.compress(VERSION + "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n") + packer.flush()
 
@@ -91,7 +101,7 @@ class Window:
     """A file read forward in chunks, from which bytes behind the current place were dropped."""
 
     def __init__(self, source, start: int):
-        self.source, self.start, self.data, self.ended = source, start, b"", False
+        self.source, self.start, self.data, self.ended = source, start, bytearray(), False
         source.seek(start)
 
     def more(self) -> bool:
@@ -101,28 +111,42 @@ class Window:
         return bool(got)
 
     def drop(self, at: int) -> None:
-        self.data, self.start = self.data[at - self.start :], at
+        del self.data[: at - self.start]
+        self.start = at
 
 
-def member(window: Window, at: int, least: int = 0) -> tuple[bytes, int] | None:
-    """The decoded member at ``at`` and its end; None if there is none or it is damaged."""
+def member(window: Window, at: int) -> tuple[bytes, int] | bool:
+    """The decoded member at ``at`` and its end; else whether it starts as a record."""
     unpack, parts, place, head = zlib.decompressobj(31), [], at, b""
     try:
         while not unpack.eof:
             if place >= window.start + len(window.data) and not window.more():
-                return None
-            chunk = window.data[place - window.start : place - window.start + CHUNK]
+                return len(head) >= len(VERSION)
+            chunk = bytes(window.data[place - window.start : place - window.start + CHUNK])
             parts.append(unpack.decompress(chunk))
             place += len(chunk)
             if len(head) < len(VERSION):
                 head += parts[-1][: len(VERSION)]
                 if not VERSION.startswith(head[: len(VERSION)]):
-                    return None
+                    return False
     except zlib.error:
-        return None
+        return begins_as_record(window, at)
     return b"".join(parts), place - len(unpack.unused_data)
 
 
+def begins_as_record(window: Window, at: int) -> bool:
+    """Whether the first bytes that can be decoded at ``at`` are a record's."""
+    unpack, head = zlib.decompressobj(31), b""
+    try:
+        for byte in window.data[at - window.start : at - window.start + 4096]:
+            head += unpack.decompress(bytes((byte,)))
+            if len(head) >= len(VERSION):
+                break
+    except zlib.error:
+        pass
+    return head.startswith(VERSION)
+
+
 def headers_of(data: bytes) -> tuple[dict[str, str], bytes] | None:
     head, gap, rest = data.partition(b"\r\n\r\n")
     if not gap or not head.startswith(VERSION):
@@ -136,11 +160,17 @@ def headers_of(data: bytes) -> tuple[dict[str, str], bytes] | None:
     if not found.get("content-length", "").isdigit() or "warc-type" not in found:
         return None
     n = int(found["content-length"])
-    return (found, rest[:n]) if len(rest) >= n else None
+    if len(rest) < n:
+        return None
+    block = rest[:n]
+    if found["warc-type"] == "response" and found.get("content-type", "").startswith("application/http"):
+        block = block.partition(b"\r\n\r\n")[2]
+    return found, block
 
 
-def records_in(source, start: int, end: int):
-    """(offset, headers, payload) of the records that start in [start, end)."""
+def records_in(source, start: int, end: int, damaged: list[int] | None = None):
+    """(offset, headers, payload) of the records that start in [start, end); offsets of members
+    that start as records but are damaged are added to ``damaged``."""
     window, at = Window(source, start), start
     while at < end:
         place = window.data.find(MAGIC, at - window.start)
@@ -155,8 +185,10 @@ def records_in(source, start: int, end: int):
             return
         window.drop(at)
         got = member(window, at)
-        parsed = headers_of(got[0]) if got else None
+        parsed = headers_of(got[0]) if isinstance(got, tuple) else None
         if parsed is None:
+            if damaged is not None and got is not False:
+                damaged.append(at)
             at += 1
             continue
         yield at, *parsed
@@ -164,34 +196,45 @@ def records_in(source, start: int, end: int):
         window.drop(at)
 
 
-def _read(batches):
+def _read(with_damaged: bool):
     names = [c.split()[0] for c in RECORDS.split(", ")]
     kinds = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.binary(), pa.bool_()]
-    for batch in batches:
-        for path, start, end in zip(*(batch.column(c).to_pylist() for c in ("path", "start", "end"))):
-            fs, inner = file_system(path)
-            rows, held = [], 0
-            with fs.open_input_file(inner) as source:
-                for offset, h, payload in records_in(source, start, end):
-                    claimed = h.get("warc-payload-digest", "").rpartition(":")[2]
-                    revisit = h["warc-type"] == "revisit"
-                    digest = claimed if revisit else hashlib.sha256(payload).hexdigest()
-                    n = int(h.get("x-payload-length", 0)) if revisit else len(payload)
-                    rows.append((path, offset, h["warc-type"], h.get("warc-target-uri"), h.get("warc-record-id", "").strip("<>"), h["warc-refers-to"].strip("<>") if "warc-refers-to" in h else None, n, digest, payload, revisit or digest == claimed))
-                    held += len(payload)
-                    if held > 8 << 20:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
-                        rows, held = [], 0
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
-
-
-def read_archives(files: DataFrame, split_bytes: int = 4 << 20) -> DataFrame:
-    """The records of ``files`` (path, size), read by byte ranges."""
+
+    def batch_of(rows):
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
+
+    def read(batches):
+        for batch in batches:
+            for path, start, end in zip(*(batch.column(c).to_pylist() for c in ("path", "start", "end"))):
+                fs, inner = file_system(path)
+                rows, held, damaged = [], 0, []
+                with fs.open_input_file(inner) as source:
+                    for offset, h, payload in records_in(source, start, end, damaged):
+                        claimed = h.get("warc-payload-digest", "").rpartition(":")[2]
+                        revisit = h["warc-type"] == "revisit"
+                        digest = claimed if revisit else hashlib.sha256(payload).hexdigest()
+                        n = int(h.get("x-payload-length", 0)) if revisit else len(payload)
+                        rows.append((path, offset, h["warc-type"], h.get("warc-target-uri"), h.get("warc-record-id", "").strip("<>"), h["warc-refers-to"].strip("<>") if "warc-refers-to" in h else None, n, digest, payload, revisit or digest == claimed))
+                        held += len(payload)
+                        if held > 8 << 20:
+                            yield batch_of(rows)
+                            rows, held = [], 0
+                if with_damaged:
+                    rows += [(path, offset, "damaged", None, None, None, None, None, None, False) for offset in damaged]
+                if rows:
+                    yield batch_of(rows)
+
+    return read
+
+
+def read_archives(files: DataFrame, split_bytes: int = 4 << 20, with_damaged: bool = False) -> DataFrame:
+    """The records of ``files`` (path, size), read by byte ranges. ``with_damaged`` adds a row
+    of record_type damaged, with path and offset, for each member that starts as a record but
+    can't be read."""
     starts = F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("size") - 1, F.lit(0)).cast("long"), F.lit(split_bytes).cast("long"))).alias("start")
     ranges = files.where("size > 0").select("path", "size", starts).select("path", "start", F.least(F.col("start") + split_bytes, "size").alias("end"))
     tasks = max(1, ranges.count())
-    return ranges.repartition(min(tasks, 100_000), "path", "start").mapInArrow(_read, RECORDS)
+    return ranges.repartition(min(tasks, 100_000), "path", "start").mapInArrow(_read(with_damaged), RECORDS)
 
 
 def response_records(pages: DataFrame, least: int = 100) -> DataFrame:
