@@ -1,5 +1,6 @@
 import hashlib
 import io
+import zlib
 
 import numpy as np
 import pytest
@@ -21,8 +22,8 @@ def brute_top_k(rows, queries, k=5):
     return sorted(out)
 
 
-@pytest.mark.parametrize("block_rows", [16_384, 7])
-def test_top_k_equals_brute_force(spark, block_rows):
+@pytest.mark.parametrize("block_rows, block_queries", [(16_384, 4096), (7, 3), (50, 1)])
+def test_top_k_equals_brute_force(spark, block_rows, block_queries):
     rng = np.random.default_rng(4)
     hot = rng.normal(size=8).round(3).tolist()
     rows = [(i, hot if i % 3 == 0 else (rng.normal(size=8) * (1 + i % 5)).round(3).tolist()) for i in range(400)]
@@ -33,11 +34,25 @@ def test_top_k_equals_brute_force(spark, block_rows):
     for i, v in whole:
         if i % 50 == 0:
             queries[i] = min(v, queries.get(i, v))
-    got = voronoi_top_k(quantised(df, "vec_id", "embedding"), F.col("vec_id") % 50 == 0, pivots=16, sample=64, block_rows=block_rows).collect()
+    got = voronoi_top_k(quantised(df, "vec_id", "embedding"), F.col("vec_id") % 50 == 0, pivots=16, sample=64, block_rows=block_rows, block_queries=block_queries).collect()
     assert sorted(map(tuple, got)) == brute_top_k(whole, queries)
     assert voronoi_top_k(quantised(df.limit(0), "vec_id", "embedding"), F.col("vec_id") % 50 == 0).collect() == []
 
 
+def test_groups_reach_few_cells_where_clusters_are_apart(spark):
+    """Query groups are kept from cells that cannot hold an answer, and answers stay exact."""
+    rng = np.random.default_rng(6)
+    centres = np.eye(12) * 40
+    rows = [(i, (centres[i % 12] + rng.normal(size=12)).tolist()) for i in range(1200)]
+    df = quantised(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), "vec_id", "embedding")
+    plan = {}
+    got = voronoi_top_k(df, F.col("vec_id") % 50 == 0, pivots=64, sample=256, plan=plan).collect()
+    whole = [(i, [int(np.floor(256 * x)) for x in v]) for i, v in rows]
+    assert sorted(map(tuple, got)) == brute_top_k(whole, {i: v for i, v in whole if i % 50 == 0})
+    assert plan["pairs reached by groups"] < 0.5 * plan["pairs"]
+    assert plan["rows sent"] <= len(rows) and plan["queries sent"] <= plan["queries"] * 64 * 0.25
+
+
 def test_products_are_exact_when_a_double_is_not():
     a, b = np.asarray([[2**40 + 1, 3]]), np.asarray([[2**20 + 1, 5], [1, 1]])
     assert products(a, b).tolist() == [[(2**40 + 1) * (2**20 + 1) + 15, 2**40 + 4]]
@@ -63,6 +78,24 @@ def test_reader_skips_damage():
     assert [h["warc-record-id"] for _, h, _ in records_in(io.BytesIO(data), 0, len(data))] == [f"<urn:page:{i}>" for i in (0, 1, 3)]
 
 
+def test_damage_is_counted_and_heads_are_standard(spark, tmp_path):
+    parts = [member(i, b"p%d " % i * 900) for i in range(6)] + [member(6, b"", "revisit")]
+    hurt = bytearray(parts[3])
+    hurt[-6] ^= 0xFF
+    data = b"".join([*parts[:3], bytes(hurt), *parts[4:6], parts[6], parts[0][:-9]])
+    path = tmp_path / "a.warc.gz"
+    path.write_bytes(data)
+    files = spark.createDataFrame([(str(path), len(data))], "path string, size long")
+    for split in (200, 1 << 20):
+        rows = read_archives(files, split, with_damaged=True).collect()
+        assert sorted(r["offset"] for r in rows if r["record_type"] == "damaged") == [sum(map(len, parts[:3])), len(data) - len(parts[0]) + 9]
+        assert sorted(r["record_id"] for r in rows if r["record_type"] != "damaged") == [f"urn:page:{i}" for i in (0, 1, 2, 4, 5, 6)]
+        assert all(r["record_type"] != "damaged" for r in read_archives(files, split).collect())
+    plain = zlib.decompress(parts[1], 31)
+    assert b"Content-Type: application/http; msgtype=response" in plain and b"\r\n\r\nHTTP/1.1 200 OK\r\n" in plain
+    assert b"WARC-Profile: http" in zlib.decompress(parts[6], 31) and b"WARC-Profile" not in plain
+
+
 def test_archive_round_trip(spark):
     long = "<p>é</p>" * 40
     rows = [(1, "u", long), (2, "u\r\nv", long), (3, None, None), (4, "u", ""), (5, "u", "short"), (6, "u", "short"), (7, "u", "y" * 300_000), (9, "u", "z" * 100), (8, "u", "z" * 100), (None, "u", long)]
