@@ -92,5 +92,11 @@ def floor_second(c: Column | str) -> Column:
     return F.floor(F.unix_micros(col(c).cast("timestamp")) / 1_000_000).cast("long")
 
 
+def whole(c: Column | str, up: bool = False) -> Column:
+    """A number as a whole one, rounded down (or up); null, not an error, beyond 64 bits."""
+    number = F.ceil(col(c).cast("double")) if up else F.floor(col(c).cast("double"))
+    return F.when(F.abs(col(c).cast("double")) < float(1 << 63), number).cast("long")
+
+
 def connectivity(c: Column | str) -> Column:
     return F.when(col(c).isin("Local Push", "Local Polling"), "offline").when(col(c).isin("Cloud Push", "Cloud Polling"), "online")

@@ -23,20 +23,24 @@ def closure(spark: SparkSession, tree: dict[str, dict]) -> DataFrame:
     return spark.createDataFrame(rows, CLOSURE)
 
 
-def integrations_of(categories: list[str] | None, connectivity: list[str] | None, tree: DataFrame, dimension: DataFrame) -> list[str] | None:
-    """Integrations in any of the categories or below, and of any of the connectivities. None
-    if neither is asked for; an empty list matches nothing. ``dimension``: integration,
-    categories (array), connectivity. The answer is a filter's argument: a list of names of
-    the integration manifest."""
-    if categories is None and connectivity is None:
-        return None
+def integrations(categories: list[str] | None, connectivity: list[str] | None, tree: DataFrame, dimension: DataFrame) -> DataFrame:
+    """integration: those in any of the categories or below, and of any of the connectivities.
+    ``dimension``: integration, categories (array), connectivity."""
     found = dimension
     if categories is not None:
         below = tree.where(F.col("ancestor").isin(categories)).select("descendant").distinct()
         found = found.join(dimension.select("integration", F.explode("categories").alias("descendant")).join(below, "descendant", "left_semi").select("integration").distinct(), "integration", "left_semi")
     if connectivity is not None:
         found = found.where(F.col("connectivity").isin(connectivity))
-    return sorted(r[0] for r in found.select("integration").distinct().collect())
+    return found.select("integration").distinct()
+
+
+def integrations_of(categories: list[str] | None, connectivity: list[str] | None, tree: DataFrame, dimension: DataFrame) -> list[str] | None:
+    """``integrations`` as a filter's argument, a list of names of the integration manifest. None
+    if neither is asked for; an empty list matches nothing."""
+    if categories is None and connectivity is None:
+        return None
+    return sorted(r[0] for r in integrations(categories, connectivity, tree, dimension).collect())
 
 
 def rollup(counts: DataFrame, membership: DataFrame, tree: DataFrame) -> DataFrame:

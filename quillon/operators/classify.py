@@ -29,6 +29,7 @@ PATTERNS: list[tuple[list[str], str]] = [
     (["Network"], "networking"), (["Plug"], "plug-and-outlet"), (["Siren"], "alarm-and-siren"), (["Vacuum"], "vacuum"), (["Water Heater"], "water-heater"),
     (["Water Management"], "water-management"), (["Weather"], "weather"), (["Alarm"], "alarm-and-siren"), (["Alarm", "Lock"], "security-and-access-control"),
 ]
+# Fixed value: a link's target in the documents' markup.
 LINK = r"\[[^\]]*\]\((https?://[^)\s]+)"
 
 

@@ -62,7 +62,7 @@ def test_ingest_deduplicates_and_is_idempotent(spark, catalog):
     lamp, lamp2 = device(sw_version="1.2", entities=[entity(), entity(domain="fan")]), device(model=None, model_id="")
     batch = spark.createDataFrame([delivery("d1", doc(lamp, lamp2)), delivery("d2", doc(lamp2, lamp), "t", 5), delivery("d3", doc(lamp, integration="other"), "t", 9)], DELIVERY)
     report = {r["kind"]: r["count"] for r in ingest(catalog, batch).collect()}
-    assert report["empty_device"] == 2 and report["malformed_device"] == 0
+    assert report["device_without_entities"] == 2 and report["empty_device"] == 0 and report["malformed_device"] == 0
     first = counts(catalog)
     assert (first["submission"], first["attribution_submission"], first["device"], first["permutation"], first["entity"]) == (2, 3, 3, 3, 2)
     assert one(catalog.read("staging.attribution_submission").where("id = 'd2'"))["submission_id"] == "d1"
