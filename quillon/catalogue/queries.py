@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.expressions import content_id
 from ..functions.hashing import commutative_hash, set_identity
 from ..operators import backfill, categories, classify, links, reads, serving, writes
+from ..operators.reconstruct import reconstruct
 from ..plans import device as plan
+from ..plans.latency import running_means
 from ..plans.subject import bounded_streak, derived_subject
 from ..plans.submission import derived_submission
-from ..storage import cut
+from ..sources.catalog import Catalog
+from ..storage import cut, shared
 from .standins import EVENT_WINDOW, PERMUTATION_PART, RULES, SUBJECT_WINDOW, SUBMISSION, StandIns
 
 QUERIES = {}
@@ -76,9 +80,9 @@ def first_encountered(t):
 
 
 def _versions(t, column):
-    s = plan.attributions(t, subjects(t))
-    dates = plan.permutation_dates(t, plan.dated_submissions(t, s), t["permutation"])
-    active = plan.active_permutations(t, plan.latest_popularity(t, subjects(t)), t["permutation"]) if column == "version_sw" else None
+    active_subjects = cut(subjects(t))
+    dates = plan.permutation_dates(t, plan.dated_submissions(t, plan.attributions(t, active_subjects)), t["permutation"])
+    active = plan.active_permutations(t, plan.latest_popularity(t, active_subjects), t["permutation"]) if column == "version_sw" else None
     return plan.versions(t["permutation"], dates, column, active)
 
 
@@ -278,19 +282,7 @@ def legacy_entity_sets(t):
 
 @query
 def delete_cascade(t):
-    """Rows left of each table after the submissions of one priority go."""
-    tables = {n: t[n] for n in ("submission", "attribution_submission", "attribution_device", "attribution_permutation", "attribution_set")} | {"attribution_link": t["attribution_device"].limit(0)}
-    left = writes.delete_submissions(tables, t["attribution_submission"].where("version = '1-URGENT'").select("id"))
-    out = None
-    for name in ("submission", "attribution_submission", "attribution_device", "attribution_permutation", "attribution_set"):
-        n = left[name].agg(F.count("*").alias("count")).select(F.lit(name).alias("name"), "count")
-        out = n if out is None else out.unionByName(n)
-    return out
-
-
-@query
-def delete_cascade_links(t):
-    """The cascade over all of its six tables, the rows of each counted."""
+    """Rows left of each of the six tables after the submissions of one priority go."""
     names = ("submission", "attribution_submission", "attribution_device", "attribution_permutation", "attribution_set", "attribution_link")
     left = writes.delete_submissions({n: t[n] for n in names}, t["attribution_submission"].where("version = '1-URGENT'").select("id"))
     out = None
@@ -302,12 +294,6 @@ def delete_cascade_links(t):
 
 @query
 def orphan_devices(t):
-    kept = writes.delete_orphans(t["device"], "id", t["attribution_device"].where("submission_id < 500"), "device_id")
-    return t["device"].join(kept.select("id"), "id", "left_anti").select("id")
-
-
-@query
-def orphan_devices_expired(t):
     """Devices that no submission of the whole table uses once those before the subject window go."""
     names = ("submission", "attribution_submission", "attribution_device", "attribution_permutation", "attribution_set", "attribution_link")
     expired = t["attribution_submission"].where(F.col("created_at") < t.now() - SUBJECT_WINDOW).select("id")
@@ -356,22 +342,25 @@ def link_dangling(t):
     return links.dereference(children, devices)[1]
 
 
+def _turn_edges(t) -> DataFrame:
+    """Every turn refers to the one before, a user's also to the one after the next."""
+    name = lambda n: F.concat_ws(":", F.col("conv_id").cast("string"), n.cast("string"))
+    turns = t.raw("conversations").select("conv_id", "turn").distinct()
+    ahead = t.raw("conversations").where("role = 'user'").select("conv_id", (F.col("turn") + 2).alias("turn")).distinct().join(turns, ["conv_id", "turn"], "left_semi")
+    back = t["turns"].select(F.col("conv_id").alias("submission_id"), F.col("child_id").alias("child"), F.col("parent_id").alias("parent"))
+    return back.unionByName(ahead.select(F.col("conv_id").alias("submission_id"), name(F.col("turn") - 2).alias("child"), name(F.col("turn")).alias("parent")))
+
+
 @query
 def link_cycles(t):
-    """Nations on a cycle of edges taken from suppliers."""
-    rows = t.raw("supplier").select((F.col("s_suppkey") % 4).alias("submission_id"), F.col("s_nationkey").alias("child"), (F.col("s_nationkey") * 7 + F.col("s_suppkey")).alias("x"))
-    edges = rows.select("submission_id", "child", (F.col("x") % 25).cast("int").alias("parent")).where("child != parent and child % 3 = 0 or parent = child + 1")
-    return links.cyclic_nodes(edges)
+    """Turns on a cycle."""
+    return links.cyclic_nodes(_turn_edges(t))
 
 
 @query
-def link_cycles_turns(t):
-    """Turns on a cycle: every turn refers to the one before, a user's also to the one after the next."""
-    name = lambda n: F.concat_ws(":", F.col("conv_id").cast("string"), n.cast("string"))
-    turns = t.raw("conversations").select("conv_id", "turn").distinct()
-    ahead = t.raw("conversations").where("role = 'user'").select("conv_id", (F.col("turn") + 2).alias("turn")).distinct().join(turns, ["conv_id", "turn"], "left_semi")
-    back = t["turns"].select(F.col("conv_id").alias("submission_id"), F.col("child_id").alias("child"), F.col("parent_id").alias("parent"))
-    return links.cyclic_nodes(back.unionByName(ahead.select(F.col("conv_id").alias("submission_id"), name(F.col("turn") - 2).alias("child"), name(F.col("turn")).alias("parent"))))
+def link_uncircular(t):
+    """Edges of the turns that are on no cycle."""
+    return links.without_cycles(_turn_edges(t))[0].select("submission_id", "child", "parent")
 
 
 @query
@@ -391,6 +380,162 @@ def classify_integration(t):
     return sets.select("c_nationkey", "k", F.array_join(F.array_sort(classify.canonical(F.col("c"))), ",").alias("categories"), classify.classified(classify.canonical(F.col("c"))).alias("classified"))
 
 
+SPECIAL_TERMS = ["%", "_", "\\", "a%", "b_", "a\\s", "\\%"]
+
+
+@query
+def devices_search_special(t):
+    """Searches for terms of wildcards and backslashes, in models that hold some of them."""
+    at = F.col("id") % 4
+    odd = F.when(at == 0, F.regexp_replace("model", " ", "%")).when(at == 1, F.regexp_replace("model", " ", "_")).when(at == 2, F.concat("model", F.lit("\\%"))).otherwise(F.col("model"))
+    served, out = _plain(t).withColumn("model", odd), None
+    for k, term in enumerate(SPECIAL_TERMS):
+        one = serving.devices(served, serving.DeviceFilter(term=term)).select(F.lit(k).alias("term"), "id")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def _device_documents(t) -> DataFrame:
+    """Each part as a device with two entities."""
+    entity = lambda domain, kind, named: F.struct(F.lit(False).alias("assumed_state"), domain.alias("domain"), F.lit(None).cast("string").alias("entity_category"), named.alias("has_entity_name"), kind.alias("original_device_class"), F.lit(None).cast("string").alias("unit_of_measurement"))
+    entities = F.array(entity(F.col("manufacturer"), F.lit(None).cast("string"), F.lit(True)), entity(F.col("integration"), F.col("model_id"), F.col("id") % 2 == 0))
+    return t["device"].select("id", "integration", F.struct(entities.alias("entities"), F.lit("service").alias("entry_type"), (F.col("id") % 3 == 0).alias("has_configuration_url"), F.lit(None).cast("string").alias("sw_version"), F.lit("1.0").alias("hw_version"), "manufacturer", "model_id", "model", F.lit(None).cast("array<string>").alias("via_device")).alias("device"))
+
+
+@query
+def device_hash(t):
+    from ..functions.hashing import device_hash as hash_of
+
+    return _device_documents(t).select("id", hash_of(F.col("integration"), F.col("device")).alias("hash"))
+
+
+@query
+def hash_texts(t):
+    """Serialised submission hashes and what is read back from them."""
+    from ..functions.hashing import deserialised, hmac_sha256, serialised
+
+    text = serialised(F.col("hash"), 1)
+    return t["submission"].select("id", text.alias("text"), deserialised(text)["hash"].alias("hash"), deserialised(F.concat(F.lit("7"), text)).isNull().alias("unknown"), hmac_sha256(b"key", F.col("id").cast("string")).alias("keyed"))
+
+
+@query
+def reconstructed(t):
+    """Submission documents from the normalised tables: a row for each device in one."""
+    body = reconstruct(t).select("submission_id", F.explode("body").alias("integration", "part"))
+    devices = body.select("submission_id", "integration", F.explode("part.devices").alias("d"))
+    names = F.array_join(F.array_sort(F.transform("d.entities", lambda e: F.concat_ws(":", e["domain"], e["original_device_class"]))), ",")
+    return devices.select("submission_id", "integration", F.col("d.manufacturer").alias("manufacturer"), F.col("d.model").alias("model"), F.col("d.sw_version").alias("sw_version"), F.col("d.hw_version").alias("hw_version"), names.alias("entities"))
+
+
+@query
+def repointed_links(t):
+    """Links that exist twice become one, and their attributions follow."""
+    twice = t["link"].unionByName(t["link"].withColumn("id", F.concat(F.lit("#"), "id")))
+    used = t["attribution_link"].unionByName(t["attribution_link"].withColumn("link_id", F.concat(F.lit("#"), "link_id")))
+    return writes.repoint_links(twice, used)[1]
+
+
+@query
+def once_each(t):
+    """The first order of each customer without an urgent one."""
+    rows = t.raw("orders").select(F.col("o_custkey").alias("id"), F.unix_micros(F.col("o_orderdate").cast("timestamp")).alias("created_at"), "o_orderkey")
+    return writes.once_each(rows, t.raw("orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("id")).distinct())
+
+
+@query
+def inserted_pairs(t):
+    """Pairs of the returned lines are there; all lines are inserted."""
+    pairs = lambda rows: rows.select(F.col("l_orderkey").alias("submission_id"), F.col("l_partkey").alias("device_id"))
+    return writes.insert_pairs(pairs(t.raw("lineitem").where("l_returnflag = 'R'")).distinct(), pairs(t.raw("lineitem")))
+
+
+@query
+def arrivals(t):
+    """How each order arrives that was expected 23 hours after the customer's one before."""
+    seen = t["attribution_submission"]
+    before = F.lag("created_at").over(W.partitionBy("subject").orderBy("created_at", "id"))
+    return seen.select("id", "created_at", (before + 23 * 3600).alias("expected_at")).select("id", writes.arrival(F.col("created_at"), F.col("expected_at"), 30 * 86400).alias("arrival"))
+
+
+@query
+def next_expected(t):
+    return writes.next_expected(t["attribution_submission"])
+
+
+def _dimension(t) -> DataFrame:
+    return t.raw("nation").select(F.col("n_name").alias("integration"), F.array("n_name", F.concat(F.lit("x"), "n_name")).alias("categories"), F.when(F.col("n_nationkey") % 3 != 0, F.when(F.col("n_nationkey") % 3 == 1, "online").otherwise("offline")).alias("connectivity"))
+
+
+@query
+def category_integrations(t):
+    some = [r[0] for r in t.raw("region").select("r_name").orderBy("r_name").limit(3).collect()]  # the request's argument
+    return categories.integrations(some, ["online"], _tree(t), _dimension(t))
+
+
+@query
+def integration_manifest(t):
+    """Front matter made from customers, read back and classified."""
+    word = F.element_at(F.array(*map(F.lit, ("Light", "Car", "Sensor", "Media player", "Hub"))), (F.col("c_custkey") % 5 + 1).cast("int"))
+    iot = F.element_at(F.array(*map(F.lit, ("Local Push", "Cloud Polling", "Calculated"))), (F.col("c_custkey") % 3 + 1).cast("int"))
+    front = F.concat(F.lit("title: \""), "c_name", F.lit("\"\nha_category:\n  - "), word, F.lit("\n  - Hub\nha_iot_class: "), iot, F.lit("\nha_domain: "), F.col("c_custkey").cast("string"))
+    content = F.concat(F.lit("See [one](https://a.b/"), F.col("c_custkey").cast("string"), F.lit(") and [two](https://c.d) and [again](https://c.d)."))
+    m = classify.manifest(t.raw("customer").select(F.col("c_custkey").cast("string").alias("name"), front.alias("front"), content.alias("content")))
+    return m.select("name", "title", "url", F.array_join("categories", ",").alias("categories"), F.array_join("classified", ",").alias("classified"), "inferred", "connectivity", F.array_join("references", ",").alias("references"))
+
+
+def _catalog(t) -> Catalog:
+    return Catalog(t.spark, shared(t.spark, "catalog"))
+
+
+@query
+def catalog_sizes(t):
+    """Stand-ins written to a catalog: tables and whether they take the bytes that their files have."""
+    catalog = _catalog(t)
+    rows = {"staging.attribution_device": t["attribution_device"].select(F.col("submission_id").cast("string").alias("submission_id"), F.col("device_id").cast("string").alias("device_id")), "staging.submission": t["submission"].withColumn("id", F.col("id").cast("string")), "staging.link": t["link"].limit(0)}
+    catalog.commit(append=rows)
+    sizes = t.spark.createDataFrame(catalog.sizes(), "name string, bytes long")
+    files = t.spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(catalog.root).where("path like '%.parquet'").select(F.regexp_extract("path", r"/(staging\.\w+)/p-", 1).alias("name"), "length").groupBy("name").agg(F.sum("length").alias("length"))
+    return sizes.join(files, "name", "left").select("name", (F.col("bytes") >= F.coalesce("length", F.lit(0))).alias("whole"), (F.col("bytes") > 0).alias("filled"))
+
+
+@query
+def catalog_columns(t):
+    """The declared columns and what they refer to."""
+    return _catalog(t).columns()
+
+
+@query
+def streaming_ingest(t):
+    """Every order as a delivered document of its parts, followed by the stream into an empty
+    catalog; rows of its tables."""
+    from ..streaming.ingest import stream
+
+    d = t["device"].withColumnRenamed("id", "device_id")
+    part = F.struct(F.array().cast("array<string>").alias("entities"), F.lit(True).alias("has_configuration_url"), "manufacturer", "model", "model_id")
+    parts = t["attribution_device"].join(d, "device_id").groupBy("submission_id", "integration").agg(F.collect_list(part).alias("devices"))
+    bodies = parts.groupBy("submission_id").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("integration", F.struct("devices", F.array().cast("array<string>").alias("entities")))))).alias("body"))
+    orders = t["attribution_submission"].join(bodies, "submission_id")
+    source, catalog = shared(t.spark, "deliveries"), _catalog(t)
+    orders.select(F.col("id").cast("string").alias("id"), F.col("subject").cast("string").alias("subject"), "version", "created_at", "body").write.json(source)
+    query = stream(t.spark, source, catalog, shared(t.spark, "progress"), files_per_trigger=10_000, once=True)
+    query.awaitTermination()
+    if query.exception():
+        raise query.exception()
+    out = None
+    for name in ("device", "permutation", "submission", "attribution_submission", "attribution_device", "entity"):
+        n = catalog.read(f"staging.{name}").agg(F.count("*").alias("count")).select(F.lit(name).alias("name"), "count")
+        out = n if out is None else out.unionByName(n)
+    return out
+
+
+@query
+def latency_means(t):
+    """Gaps between a user's events stand for seconds of one query."""
+    gap = (F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000 - F.lag(F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000).over(W.partitionBy("user_id").orderBy("ts", "event_id")))
+    runs = t.raw("events").select(F.col("user_id").alias("name"), F.col("event_id").alias("at"), F.round(gap).cast("long").alias("seconds")).where("seconds is not null")
+    return running_means(runs).select("name", "at", "seconds", F.round(F.col("mean"), 3).alias("mean"), "slow")
+
+
 @query
 def table_sizes(t):
     """Row counts stand for sizes of tables here."""

@@ -44,6 +44,12 @@ event_subjects as (select distinct subject from events_ where created_at >= (sel
 tree as (select n_name ancestor, n_name descendant from nation union all select r_name, r_name from region union all select r_name, n_name from nation join region on n_regionkey = r_regionkey)
 """
 
+
+
+def _pad(byte: int, key: bytes = b"key") -> str:
+    return bytes(b ^ byte for b in key.ljust(64, b"\0")).hex()
+
+
 _COUNT = 'select count(*) "count" from {}'
 _LIMBS = ", ".join(f"sum(('0x' || substr(digest, {8 * i + 1}, 8))::bigint)::bigint limb{i}" for i in range(8))
 
@@ -115,9 +121,9 @@ _QUERIES = {
       union all select 'attribution_submission', count(*) from attribution_submission where submission_id not in (select id from gone)
       union all select 'attribution_device', count(*) from attribution_device where submission_id not in (select id from gone)
       union all select 'attribution_permutation', count(*) from attribution_permutation where submission_id not in (select id from gone)
-      union all select 'attribution_set', count(*) from attribution_set where submission_id not in (select id from gone)""",
-    "orphan_devices": "select id from device where id not in (select device_id from attribution_device where submission_id < 500)",
-    "orphan_devices_expired": f"""select id from device where id not in (select device_id from attribution_device
+      union all select 'attribution_set', count(*) from attribution_set where submission_id not in (select id from gone)
+      union all select 'attribution_link', count(*) from turns where conv_id not in (select id from gone)""",
+    "orphan_devices": f"""select id from device where id not in (select device_id from attribution_device
       where submission_id not in (select id from attribution_submission where created_at < (select t from clock) - {SUBJECT_WINDOW}))""",
     "late_window": "select id, subject, created_at + 82800 expected_at from attribution_submission where created_at + 82800 <= (select t from clock) - 86400 and (select t from clock) - 86400 <= created_at + 82800 + 864000",
     "finished_submissions": "select id, created_at, case when completed_at is null and id % 3 = 0 then 'h' else hash end hash, case when completed_at is null and id % 3 = 0 then created_at + 5 else completed_at end completed_at from submission",
@@ -128,6 +134,37 @@ _QUERIES = {
       where not exists (select 1 from conversations d where d.conv_id = c.conv_id and d.turn = case when c.turn % 2 = 0 then c.turn + 3 else n - c.turn - 3 end)""",
     "json_explode": "select event_id, unnest(json_keys(props)) \"key\", unnest(list_transform(json_keys(props), lambda k: (props->>k)::bigint)) \"value\" from events",
     "link_extract": "select distinct page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) reference from pages",
+    "devices_search_special": """, odd as (select plain.* replace (case id % 4 when 0 then replace(model, ' ', '%') when 1 then replace(model, ' ', '_') when 2 then model || '\\%' else model end as model) from plain),
+      terms as (select * from (values (0, '%|%%', '|'), (1, '%|_%', '|'), (2, '%|%', '|'), (3, '%a|%%', '|'), (4, '%b|_%', '|'), (5, '%as%', '|'), (6, '%\\%', '|')) v(term, pattern, escape))
+      select term, id from odd, terms where lower(manufacturer) like pattern escape '|' or lower(model) like pattern escape '|' or lower(model_id) like pattern escape '|'""",
+    "device_hash": """select id, sha256(concat(integration, coalesce(manufacturer, 'null'), coalesce(model, 'null'), coalesce(model_id, 'null'), 'service', case when id % 3 = 0 then 'true' else 'false' end, 'null', '1.0',
+      case when encode(manufacturer) < encode(integration) then a || b else b || a end)) hash
+      from (select *, manufacturer || 'nullnulltruefalsenull' a, integration || 'null' || model_id || case when id % 2 = 0 then 'true' else 'false' end || 'falsenull' b from device)""",
+    "hash_texts": f"""select id, '1-' || to_base64(unhex(hash)) "text", hash, true "unknown", sha256(unhex('{_pad(0x5C)}' || sha256(unhex('{_pad(0x36)}') || encode(id::varchar)))) keyed from submission""",
+    "reconstructed": """select l_orderkey submission_id, integration, manufacturer, model, split_part(permutation_id, '-', 3) sw_version,
+      case when split_part(permutation_id, '-', 2)::int % 3 = 1 then 'None' when split_part(permutation_id, '-', 2)::int % 3 = 2 then 'h' || (split_part(permutation_id, '-', 2)::int % 7) end hw_version,
+      "domain" || ':' || original_device_class entities from sets join device on device.id = split_part(permutation_id, '-', 1)::bigint join entity on entity.id = entity_id""",
+    "repointed_links": "select distinct conv_id submission_id, '#' || parent_id || '-' || child_id link_id from turns",
+    "once_each": """select id, created_at, o_orderkey from (select o_custkey id, epoch_us(o_orderdate) created_at, o_orderkey, row_number() over (partition by o_custkey order by o_orderdate, o_orderkey) k from orders)
+      where k = 1 and id not in (select o_custkey from orders where o_orderpriority = '1-URGENT')""",
+    "inserted_pairs": "select * from attribution_device",
+    "arrivals": """select id, case when e is null or created_at between e and e + 2592000 then 'in_time' when created_at < e then 'too_early' else 'too_late' end arrival
+      from (select id, created_at, lag(created_at) over (partition by subject order by created_at, id) + 82800 e from attribution_submission)""",
+    "next_expected": "select subject, max(created_at) + 82800 expected_at from attribution_submission group by 1",
+    "category_integrations": """, three as (select r_name from region order by r_name limit 3)
+      select n_name integration from nation join region on n_regionkey = r_regionkey where r_name in (select r_name from three) and n_nationkey % 3 = 1""",
+    "integration_manifest": """select c_custkey::varchar "name", c_name title, 'integrations/' || c_custkey url, case c_custkey % 5 when 0 then 'Light' when 1 then 'Car' when 3 then 'Media Player' else '' end categories,
+      case c_custkey % 5 when 0 then 'lighting' when 1 then 'car' when 3 then 'entertainment' end classified, case when c_custkey % 5 in (0, 1, 3) then true end inferred,
+      case c_custkey % 3 when 0 then 'offline' when 1 then 'online' end connectivity, 'https://a.b/' || c_custkey || ',https://c.d' "references" from customer""",
+    "catalog_sizes": """select * from (values ('staging.attribution_device', true, true), ('staging.submission', true, true), ('staging.link', true, false)) v("name", whole, filled)""",
+    "streaming_ingest": """, bodies as (select submission_id, list_sort(list(distinct (integration, manufacturer, coalesce(model, 'null'), model_id))) b from attribution_device join device on device.id = device_id group by 1),
+      used as (select distinct integration, manufacturer, coalesce(model, '') model, model_id from device where id in (select device_id from attribution_device)),
+      kept as (select b, min(created_at) from bodies join attribution_submission using (submission_id) group by 1)
+      select 'device' "name", count(*) "count" from used union all select 'permutation', count(*) from used union all select 'submission', count(*) from kept
+      union all select 'attribution_submission', count(*) from bodies union all select 'attribution_device', sum(len(b))::bigint from kept union all select 'entity', 0""",
+    "latency_means": """, gaps as (select user_id "name", event_id "at", round((epoch_us(ts) - lag(epoch_us(ts)) over (partition by user_id order by ts, event_id)) / 1000000)::bigint "seconds" from events),
+      m as (select *, avg("seconds") over (partition by "name" order by "at", "seconds" rows unbounded preceding) mean, avg("seconds") over (partition by "name" order by "at", "seconds" rows between unbounded preceding and 1 preceding) before from gaps where "seconds" is not null)
+      select "name", "at", "seconds", round(mean, 3) mean, "seconds" > case when before is null then 10.0 else 2 * greatest(0.01, before) end slow from m""",
     "table_sizes": "select 'device' \"name\", count(*) pgsize from device union all select 'submission', count(*) from submission union all select 'entity', count(*) from entity",
     "health": "select 1::int one",
 }
@@ -146,22 +183,13 @@ def _carried() -> str:
 ORACLES["commutative_hash_by_subject"] = f"""{TABLES}, limbs as ({_QUERIES["limb_sums_by_subject"]}), digits as (select subject, {_carried()} h from limbs)
 select subject, sha256(unhex(case when h = '' then '00' when length(h) % 2 = 1 then '0' || h else h end)) hash from digits"""
 
-ORACLES["delete_cascade_links"] = ORACLES["delete_cascade"] + """
-      union all select 'attribution_link', count(*) from turns where conv_id not in (select id from gone)"""
-
-_EDGES = """
-with recursive e as (select distinct s_suppkey % 4 submission_id, s_nationkey child, ((s_nationkey * 7 + s_suppkey) % 25)::int parent from supplier),
-edges as (select * from e where child <> parent and child % 3 = 0 or parent = child + 1),
-reach as (select * from edges union select r.submission_id, r.child, e.parent from reach r join edges e on e.submission_id = r.submission_id and e.child = r.parent)
-select submission_id, child node from reach where child = parent
-"""
-ORACLES["link_cycles"] = _EDGES
-ORACLES["link_cycles_turns"] = """
+_CYCLES = """
 with recursive c as (select distinct conv_id, turn, role from conversations),
-edges as (select c.conv_id submission_id, c.conv_id || ':' || c.turn child, d.conv_id || ':' || d.turn parent from c join c d on d.conv_id = c.conv_id and (d.turn = c.turn - 1 or d.turn = c.turn + 2 and c.role = 'user')),
+edges as (select distinct c.conv_id submission_id, c.conv_id || ':' || c.turn child, d.conv_id || ':' || d.turn parent from c join c d on d.conv_id = c.conv_id and (d.turn = c.turn - 1 or d.turn = c.turn + 2 and c.role = 'user')),
 reach as (select * from edges union select r.submission_id, r.child, e.parent from reach r join edges e on e.submission_id = r.submission_id and e.child = r.parent)
-select submission_id, child node from reach where child = parent
 """
+ORACLES["link_cycles"] = _CYCLES + "select submission_id, child node from reach where child = parent"
+ORACLES["link_uncircular"] = _CYCLES + "select * from edges where (submission_id, child) not in (select (submission_id, child) from reach where child = parent)"
 ORACLES["classify_integration"] = """
 with s as (select c_nationkey, c_custkey % 40 k, list(distinct case c_mktsegment when 'BUILDING' then 'Light' when 'AUTOMOBILE' then 'Car' when 'HOUSEHOLD' then 'Media Player' when 'FURNITURE' then 'Remote' end) c from customer group by 1, 2),
 f as (select c_nationkey, k, list_sort(list_filter(c, lambda x: x is not null)) c from s)

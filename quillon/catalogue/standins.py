@@ -20,7 +20,7 @@ class StandIns(dict):
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         super().__init__()
-        self.spark, self.dir = spark, sf_dir
+        self.spark, self.dir, self._now = spark, sf_dir, None
 
     def raw(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
@@ -89,7 +89,9 @@ class StandIns(dict):
         return {"attribution_submission": rows}
 
     def now(self) -> int:
-        return self["attribution_submission"].agg(F.max("created_at")).first()[0]
+        if self._now is None:
+            self._now = self["attribution_submission"].agg(F.max("created_at")).first()[0]
+        return self._now
 
 
 def _permutation_id():

@@ -32,7 +32,7 @@ def test_orphans_are_sought_in_the_whole_table(spark, tables):
     put("part", [(p, "b", "t", "n", 1) for p in (1, 2, 3, 4)], "p_partkey long, p_brand string, p_type string, p_name string, p_size int")
     put("conversations", [], "conv_id long, turn long, role string, text string")
     lineitem(put, [(900, 1), (100, 2), (100, 3), (101, 3)])
-    assert sorted(r["id"] for r in QUERIES["orphan_devices_expired"](spark, folder).collect()) == [2, 4]
+    assert sorted(r["id"] for r in QUERIES["orphan_devices"](spark, folder).collect()) == [2, 4]
 
 
 def test_cascade_takes_the_links_along(spark, tables):
@@ -40,7 +40,7 @@ def test_cascade_takes_the_links_along(spark, tables):
     orders(put, {k: datetime(2000, 1, 1) for k in (1, 2, 3)}, {2: "1-URGENT"})
     lineitem(put, [(1, 1), (2, 1), (3, 1)])
     put("conversations", [(c, n, "user", "x") for c in (1, 2, 3) for n in range(3)], "conv_id long, turn long, role string, text string")
-    left = {r["name"]: r["count"] for r in QUERIES["delete_cascade_links"](spark, folder).collect()}
+    left = {r["name"]: r["count"] for r in QUERIES["delete_cascade"](spark, folder).collect()}
     assert left == {"submission": 2, "attribution_submission": 2, "attribution_device": 2, "attribution_permutation": 2, "attribution_set": 2, "attribution_link": 4}
 
 
@@ -48,5 +48,5 @@ def test_cycles_of_every_conversation_are_found(spark, tables):
     put, folder = tables
     roles = ["system", "user", "system", "system", "system"]
     put("conversations", [(c, n, r, "x") for c in range(40) for n, r in enumerate(roles)], "conv_id long, turn long, role string, text string")
-    got = sorted(map(tuple, QUERIES["link_cycles_turns"](spark, folder).collect()))
+    got = sorted(map(tuple, QUERIES["link_cycles"](spark, folder).collect()))
     assert got == sorted((c, f"{c}:{n}") for c in range(40) for n in (1, 2, 3))
