@@ -1,12 +1,20 @@
 """Learned decision lists over text statistics, in DataFrame functions alone.
 
-Statistics of every whole text are written once. Sequential covering then learns reject rules
-from the labelled ones: a rule grows by the threshold condition of the highest information
-gain over the rows that earlier rules left, is pruned on other rows (by a hash of doc_id) to
-its best prefix, and is kept while its precision there is high enough. Thresholds lie
-midway between neighbouring quantiles. Each step is one aggregation of (feature, bin) counts, so the driver sees at most
-features x bins numbers, whatever the number of rows. The list becomes one ordered
-conditional expression.
+Statistics of every whole text are written once. Sequential covering then learns rules from the
+labelled ones, each on the rows that the rules before it left. A rule grows by the threshold
+condition of the highest information gain, is pruned on other rows (by a hash of doc_id) to its
+best prefix, and is kept while its precision is high enough on both. A step first looks for a
+rule that rejects; if the best isn't precise enough, for one that keeps, which takes its rows
+away from the rules that reject after it. So the order matters, and the list is emitted as one
+ordered conditional expression; rows on which no rule fires are kept.
+
+Thresholds lie midway between neighbouring candidates, drawn anew for every rule from the rows
+that are left: quantiles of all of them, of the bad ones, and of those unlike the commonest
+value, whose nearest neighbours on both sides are candidates too. So a rare defect in a feature
+that is otherwise constant still has a threshold.
+
+Each step is one aggregation of (feature, bin) counts, so the driver sees at most
+features x bins numbers, whatever the number of rows.
 
 Words are ``[^\\x20\\x09-\\x0D]+``. Edge cases: a null text has no words and fails the base
 rules; labels other than 0 and 1 are left out, the smallest of several labels of a doc_id
@@ -99,22 +107,57 @@ class Condition:
         return f"{self.feature} {'>' if self.above else '<='} {self.threshold:.6g}"
 
 
-Rule = tuple[Condition, ...]
+@dataclass(frozen=True)
+class Rule:
+    """A conjunction of conditions and the verdict where it holds."""
+
+    conditions: tuple[Condition, ...]
+    keep: bool = False
+
+    def __len__(self) -> int:
+        return len(self.conditions)
+
+    def __str__(self) -> str:
+        return f"{'keep' if self.keep else 'reject'} if {' and '.join(map(str, self.conditions))}"
 
 
-def fires(rule: Rule) -> Column:
+def fires(conditions: tuple[Condition, ...]) -> Column:
     out = F.lit(True)
-    for condition in rule:
+    for condition in conditions:
         out = out & condition.column()
     return out
 
 
-def verdict(rules: list[Rule]) -> Column:
-    """The ordered conditional: false at the first rule that fires, else true."""
+def _first_match(rules: list[Rule], answer: Callable[[Rule], bool], otherwise: bool) -> Column:
     out = None
     for rule in rules:
-        out = F.when(fires(rule), F.lit(False)) if out is None else out.when(fires(rule), F.lit(False))
-    return F.lit(True) if out is None else out.otherwise(F.lit(True))
+        out = F.when(fires(rule.conditions), F.lit(answer(rule))) if out is None else out.when(fires(rule.conditions), F.lit(answer(rule)))
+    return F.lit(otherwise) if out is None else out.otherwise(F.lit(otherwise))
+
+
+def verdict(rules: list[Rule]) -> Column:
+    """The ordered conditional: what the first rule that fires says, else true."""
+    return _first_match(rules, lambda rule: rule.keep, True)
+
+
+def unmatched(rules: list[Rule]) -> Column:
+    return _first_match(rules, lambda rule: False, True)
+
+
+def thresholds(rows: DataFrame, features: list[str], bins: int) -> dict[str, list[float]]:
+    """Cuts of each feature that takes more than one value on ``rows`` (features, bad)."""
+    grid = [k / bins for k in range(1, bins)]
+    quantiles = lambda c, f: F.percentile_approx(c, grid, 10_000).alias(f)
+    middle = rows.agg(*(F.percentile_approx(f, 0.5, 10_000).alias(f) for f in features)).first()
+    other = {f: F.when(F.col(f) != F.lit(middle[f]), F.col(f)) for f in features if middle[f] is not None}
+    if not other:
+        return {}
+    found = rows.agg(
+        *(quantiles(F.col(f), f) for f in other), *(quantiles(F.when(F.col("bad") == 1, F.col(f)), f"{f}_bad") for f in other), *(quantiles(x, f"{f}_other") for f, x in other.items()),
+        *(F.min(F.when(F.col(f) > middle[f], F.col(f))).alias(f"{f}_next") for f in other), *(F.max(F.when(F.col(f) < middle[f], F.col(f))).alias(f"{f}_last") for f in other),
+    ).first()
+    seen = {f: sorted({middle[f], *(found[f] or []), *(found[f"{f}_bad"] or []), *(found[f"{f}_other"] or []), *(x for x in (found[f"{f}_next"], found[f"{f}_last"]) if x is not None)}) for f in other}
+    return {f: [(a + b) / 2 for a, b in zip(c, c[1:])] for f, c in seen.items() if len(c) > 1}
 
 
 def _bin(feature: str, cuts: list[float]) -> Column:
@@ -122,69 +165,85 @@ def _bin(feature: str, cuts: list[float]) -> Column:
     return F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: F.col(feature) > c))
 
 
-def _grow(rows: DataFrame, cuts: dict[str, list[float]], most_conditions: int) -> Rule:
-    """The rule of highest gain on ``rows`` (features, bad)."""
+Counts = dict[str, dict[int, tuple[int, int]]]
+
+
+def best_condition(counts: Counts, cuts: dict[str, list[float]]) -> Condition | None:
+    """The condition of the highest gain, from (wanted, other) counts by feature and bin; of
+    equal gains the first."""
+    p0, n0 = (sum(x[i] for x in counts[next(iter(cuts))].values()) for i in (0, 1))
+    best, found = 0.0, None
+    if not p0 or not n0:
+        return None
+    for f, edges in cuts.items():
+        low = [0, 0]
+        for k, t in enumerate(edges):
+            low = [a + b for a, b in zip(low, counts[f].get(k, (0, 0)))]
+            for above, (p, n) in ((False, low), (True, [p0 - low[0], n0 - low[1]])):
+                gain = p * (math.log2((p + 0.5) / (p + n + 1)) - math.log2((p0 + 0.5) / (p0 + n0 + 1))) if p else 0.0
+                if gain > best + 1e-9:
+                    best, found = gain, Condition(f, above, t)
+    return found
+
+
+def _grow(rows: DataFrame, cuts: dict[str, list[float]], most_conditions: int, keep: bool) -> tuple[Condition, ...]:
+    """The conjunction of highest gain on ``rows`` (features, bad) for the wanted label."""
     rule: list[Condition] = []
-    bad = F.col("bad").cast("long")
+    wanted = (F.col("bad") == (0 if keep else 1)).cast("long")
     bins = F.array(*(F.struct(F.lit(f).alias("feature"), _bin(f, cuts[f]).alias("bin")) for f in cuts))
     binned = rows.select("bad", *cuts, F.inline(bins))
     while len(rule) < most_conditions:
-        counts: dict[str, dict[int, tuple[int, int]]] = {f: {} for f in cuts}
-        for r in binned.where(fires(tuple(rule))).groupBy("feature", "bin").agg(F.sum(bad).alias("p"), F.sum(1 - bad).alias("n")).collect():
+        counts: Counts = {f: {} for f in cuts}
+        for r in binned.where(fires(tuple(rule))).groupBy("feature", "bin").agg(F.sum(wanted).alias("p"), F.sum(1 - wanted).alias("n")).collect():
             counts[r["feature"]][r["bin"]] = (r["p"], r["n"])
-        p0, n0 = (sum(x[i] for x in counts[next(iter(cuts))].values()) for i in (0, 1))
-        if not p0 or not n0:
-            break
-        best, found = 0.0, None
-        for f, thresholds in cuts.items():
-            for k, t in enumerate(thresholds):
-                low = [sum(x[i] for b, x in counts[f].items() if b <= k) for i in (0, 1)]
-                for above, (p, n) in ((False, low), (True, [p0 - low[0], n0 - low[1]])):
-                    gain = p * (math.log2((p + 0.5) / (p + n + 1)) - math.log2((p0 + 0.5) / (p0 + n0 + 1))) if p else 0.0
-                    if gain > best + 1e-9:
-                        best, found = gain, Condition(f, above, t)
+        found = best_condition(counts, cuts)
         if found is None or found in rule:
             break
         rule.append(found)
     return tuple(rule)
 
 
-def _hits(rows: DataFrame, rule: Rule) -> list[tuple[int, int]]:
-    """(bad, good) rows on which each prefix of the rule fires."""
-    bad, sums = F.col("bad").cast("long"), []
-    for k in range(1, len(rule) + 1):
-        hit = fires(rule[:k]).cast("long")
-        sums += [F.coalesce(F.sum(hit * bad), F.lit(0)), F.coalesce(F.sum(hit * (1 - bad)), F.lit(0))]
+def _hits(rows: DataFrame, rule: tuple[Condition, ...], keep: bool) -> dict[bool, list[tuple[int, int]]]:
+    """(wanted, other) rows on which each prefix of the rule fires, of growing rows (True) and
+    of pruning rows."""
+    wanted, sums = (F.col("bad") == (0 if keep else 1)).cast("long"), []
+    for grown in (True, False):
+        for k in range(1, len(rule) + 1):
+            hit = (fires(rule[:k]) & (F.col("grown") == grown)).cast("long")
+            sums += [F.coalesce(F.sum(hit * wanted), F.lit(0)), F.coalesce(F.sum(hit * (1 - wanted)), F.lit(0))]
     got = list(rows.agg(*sums).first())
-    return list(zip(got[::2], got[1::2]))
+    pairs = list(zip(got[::2], got[1::2]))
+    return {True: pairs[: len(rule)], False: pairs[len(rule) :]}
 
 
-def _prune(rows: DataFrame, rule: Rule) -> tuple[Rule, int, int]:
-    """The best prefix of the rule on ``rows`` by (p - n) / (p + n), with its p and n."""
-    hits = _hits(rows, rule)
-    k = max(range(len(rule)), key=lambda k: ((hits[k][0] - hits[k][1]) / max(1, sum(hits[k])), -k))
-    return rule[: k + 1], *hits[k]
+def pruned_length(hits: list[tuple[int, int]]) -> int:
+    """The prefix that is best by (p - n) / (p + n), the shortest of equals."""
+    return max(range(len(hits)), key=lambda k: ((hits[k][0] - hits[k][1]) / max(1, sum(hits[k])), -k)) + 1
 
 
-def learn_rules(rows: DataFrame, features: list[str] = FEATURES, most_rules: int = 8, most_conditions: int = 3, bins: int = 24, precision: float = 0.9) -> list[Rule]:
-    """Reject rules from ``rows``: doc_id, features, bad (0 or 1). A rule must reach
-    ``precision`` both on its growing rows and on its pruning rows."""
-    rows = rows.select("doc_id", *(F.col(f).cast("double").alias(f) for f in features), "bad")
-    quantiles = rows.agg(*(F.percentile_approx(f, [k / bins for k in range(1, bins)], 10_000).alias(f) for f in features), *(F.percentile_approx(F.when(F.col("bad") == 1, F.col(f)), [k / bins for k in range(1, bins)], 10_000).alias(f"{f}_bad") for f in features)).first()
-    seen = {f: sorted({*(quantiles[f] or []), *(quantiles[f"{f}_bad"] or [])}) for f in features}
-    cuts = {f: [(a + b) / 2 for a, b in zip(c, c[1:])] for f, c in seen.items() if len(c) > 1}
-    grown = F.pmod(F.xxhash64("doc_id"), F.lit(3)) != 0
+def learn_rules(rows: DataFrame, features: list[str] = FEATURES, most_rules: int = 8, most_conditions: int = 3, bins: int = 24, precision: float = 0.9, keep_precision: float = 0.99) -> list[Rule]:
+    """An ordered list from ``rows``: doc_id, features, bad (0 or 1). A rule that rejects must
+    reach ``precision``, one that keeps ``keep_precision``, on its growing rows and on its
+    pruning rows."""
+    rows = rows.select("doc_id", *(F.col(f).cast("double").alias(f) for f in features), "bad").withColumn("grown", F.pmod(F.xxhash64("doc_id"), F.lit(3)) != 0)
     rules: list[Rule] = []
-    while cuts and len(rules) < most_rules:
-        left = rows.where(verdict(rules))
-        rule = _grow(left.where(grown), cuts, most_conditions)
-        if not rule:
-            break
-        rule, p, n = _prune(left.where(~grown), rule)
-        p_grown, n_grown = _hits(left.where(grown), rule)[-1]
-        if p < precision * (p + n) or p_grown < precision * (p_grown + n_grown) or p_grown < 2:
+    while len(rules) < most_rules:
+        left = rows.where(unmatched(rules))
+        cuts, added = thresholds(left, features, bins), False
+        for keep, least in ((False, precision), (True, keep_precision)):
+            grown = _grow(left.where("grown"), cuts, most_conditions, keep) if cuts and not added else ()
+            if not grown:
+                continue
+            hits = _hits(left, grown, keep)
+            k = pruned_length(hits[False])
+            (p, n), (p_grown, n_grown) = hits[False][k - 1], hits[True][k - 1]
+            if p >= least * (p + n) and p_grown >= least * (p_grown + n_grown) and p_grown >= 2:
+                rules.append(Rule(grown[:k], keep))
+                added = True
+        if not added:
             break
-        rules.append(rule)
+    while rules and rules[-1].keep:  # nothing rejects after it
+        rules.pop()
     return rules
 
 
