@@ -201,7 +201,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = 20, ro
     ends = crowded.join(hubs, "band").where(close).select(F.greatest("node", "hub.node").alias("u"), F.least("node", "hub.node").alias("v"))
     tried = written(ends.distinct(), "pairs")
     wanted = tried.select(F.col("u").alias("node")).unionByName(tried.select(F.col("v").alias("node"))).unionByName(crowded.where("size > 2").select("node")).distinct()
-    asked = written(reps.join(wanted, "node").select("node", "rep.*"), "wanted")
+    asked = reps.join(wanted, "node").select("node", "rep.*")
     text = written(source.join(asked, KEY).dropDuplicates(KEY).select("node", "text"), "candidates")
 
     def links(pairs: DataFrame) -> DataFrame:
