@@ -1,7 +1,9 @@
 import hashlib
+from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from quillon.llm.components import components
@@ -90,15 +92,43 @@ def test_anchor_is_the_leftmost_smallest():
     assert all(at[i] == i + np.argmin(x[i : i + 37] & ~low) for i in pick.tolist())
 
 
+def plain_chunks(text, rolling=2, one_in=2, most=64):
+    """The rule for chunk ends line by line: the hash of the last lines, by doubling pairs."""
+    lines, out, held = text.split(b"\n"), [], []
+    mask, golden = (1 << 64) - 1, 0x9E3779B97F4A7C15
+
+    def mixed(x):
+        x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 & mask
+        x = (x ^ (x >> 27)) * 0x94D049BB133111EB & mask
+        return x ^ (x >> 31)
+
+    def pair(a, b):
+        return mixed(a * golden + mixed(b + golden & mask) & mask)
+
+    hashes = [xxhash.xxh3_64_intdigest(x, 1) for x in lines]
+    for k, line in enumerate(lines):
+        held.append(line)
+        ends = k == len(lines) - 1 or (k >= rolling - 1 and mixed(pair(hashes[k - 1], hashes[k])) % one_in == 0)
+        if k == len(lines) - 1 or len(lines) > 2 and ((ends and len(held) >= 2) or len(held) == most):
+            out.append(b"\n".join(held))
+            held = []
+    return out
+
+
+def test_chunks_equal_the_plain_rule():
+    for text in [(t or "").encode() for _, t in edge_texts()] + [prose(k, 400, 3).encode() for k in range(5)] + [b"same\n" * 300, b"a\nb", b"\n\n\n"]:
+        assert chunks_of(text, 2, 2, 64) == plain_chunks(text)
+
+
 def brute_lines(texts):
     seen, out = {}, []
     for i, t in texts:
-        for k, c in enumerate(chunks_of((t or "").encode(), 2, 2, 64)):
+        for k, c in enumerate(plain_chunks((t or "").encode())):
             if i is not None and removable(c):
                 seen[c] = min(seen.get(c, (i, k)), (i, k))
     for i, t in texts:
         kept, gone = [], 0
-        for k, c in enumerate(chunks_of((t or "").encode(), 2, 2, 64)):
+        for k, c in enumerate(plain_chunks((t or "").encode())):
             if i is not None and removable(c) and seen[c] < (i, k):
                 gone += c.count(b"\n") + 1
             else:
@@ -154,6 +184,35 @@ def test_near_duplicates_equal_brute_force(edge, nothing):
     assert ids.count(None) == 2 and ids.count(18) == 1  # one of its two texts is a copy of 17's
 
 
+def exact_links(texts, threshold=0.8, size=5):
+    """All pairs of different texts of that weighted similarity, by counting shared shingles of
+    words themselves: no hash, no bag and no band of the operator's."""
+    bags, where, common = [], {}, Counter()
+    for k, t in enumerate(texts):
+        w = (t or "").encode().split()
+        bags.append(Counter(tuple(w[i : i + size]) for i in range(max(1, len(w) - size + 1))) if w else Counter())
+        for shingle, n in bags[-1].items():
+            for other, m in where.get(shingle, ()):
+                common[other, k] += min(n, m)
+            where.setdefault(shingle, []).append((k, n))
+    total = [sum(b.values()) for b in bags]
+    return {p for p, c in common.items() if c >= threshold * (total[p[0]] + total[p[1]] - c) - 1e-9}
+
+
+def test_no_exact_link_is_lost(spark):
+    """Recall against every pair of a whole table, counted without the operator's parts."""
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").orderBy("doc_id").collect()
+    pairs = exact_links([r["text"] for r in rows])
+    found = {r["doc_id"]: r["class_id"] for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    lost = [(rows[a]["doc_id"], rows[b]["doc_id"]) for a, b in pairs if found[rows[a]["doc_id"]] != found[rows[b]["doc_id"]]]
+    assert len(pairs) > 100 and not lost
+    root = list(range(len(rows)))
+    for a, b in sorted(pairs):  # and no class holds more than the links do
+        x, y = root[a], root[b]
+        root = [min(x, y) if r in (x, y) else r for r in root]
+    assert found == {r["doc_id"]: rows[root[k]]["doc_id"] for k, r in enumerate(rows)}
+
+
 @pytest.mark.parametrize("few", [1, 32])
 def test_near_copies_of_near_copies_form_one_class(spark, few):
     """A chain whose ends aren't similar, and a group whose smallest member is at its border."""
