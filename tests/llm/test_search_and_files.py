@@ -139,6 +139,69 @@ def test_mix_meets_targets_and_bounds(spark, edge, nothing):
     assert mix(edge).count() == len(edge_texts())
 
 
+def brute_targets(sizes, weights=(5.0, 2.0, 1.0), most=3):
+    """Shares by weight, reshared until no source is above ``most`` times its words."""
+    order = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
+    weight = {s: weights[k % len(weights)] for k, s in enumerate(order)}
+    target, free, left = {}, set(sizes), float(sum(sizes.values()))
+    while free:
+        level = left / sum(weight[s] for s in free)
+        over = [s for s in free if level * weight[s] > most * sizes[s]]
+        for s in over or free:
+            target[s] = float(most * sizes[s]) if over else level * weight[s]
+        left -= sum(target[s] for s in over)
+        free -= set(over or free)
+    return {s: target[s] for s in order}
+
+
+def brute_mix(rows, block, most=3):
+    """taken of each row, slot by slot and word by word. ``rows``: (place in its source's
+    shuffle, source, size)."""
+    sizes = {}
+    for _, s, n in rows:
+        sizes[s] = sizes.get(s, 0) + n
+    target = brute_targets(sizes, most=most)
+    total, upto, parts = sum(target.values()), 0.0, []
+    for s, goal in target.items():
+        upto += goal
+        parts.append((s, (upto - goal) / total, 1.0 if upto >= total else upto / total))
+    step, rank, taken_blocks = int(0.6180339887498949 * 2**53), {}, {}
+    for slot in range(-int(-total // block)):
+        x = (slot + 1) * step % 2**53 / 2**53
+        s = next(s for s, low, high in parts if low <= x < high)
+        r = rank[s] = rank.get(s, -1) + 1
+        blocks = -(-sizes[s] // block)
+        if r < blocks * most:
+            key = s, r % blocks
+            taken_blocks[key] = taken_blocks.get(key, 0) + 1
+    words, out = {s: [] for s in sizes}, [0] * len(rows)
+    for k in sorted(range(len(rows)), key=lambda k: rows[k][0]):
+        words[rows[k][1]] += [k] * rows[k][2]
+    for s, stream in words.items():
+        run = 0
+        for (of, b), n in taken_blocks.items():
+            if of == s:
+                part = stream[b * block : (b + 1) * block]
+                run += n * len(part)
+                for k in part:
+                    out[k] += n
+        goal = int(target[s] + 0.5)
+        for at in range(min(run, goal), max(run, goal)):  # the run is drawn on or cut back to the target
+            out[stream[at % len(stream)]] += 1 if run < goal else -1
+    return out
+
+
+@pytest.mark.parametrize("block_words", [1, 7, 60])
+def test_mix_equals_brute_force(spark, block_words):
+    """Ranks, blocks, pieces and settling, recomputed slot by slot."""
+    rows = [(i, " ".join(["w"] * (i * 13 % 23)), None if i % 9 == 0 else f"s{i * i % 5}") for i in range(220)] + [(500, "w w w", "tiny")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r["doc_id"]: r["taken"] for r in mix(df, block_words=block_words).collect()}
+    place = {r["doc_id"]: (r["p"] >> 54 & 1023, r["p"]) for r in df.select("doc_id", F.xxhash64("doc_id", F.xxhash64("text"), F.lit(9)).alias("p")).collect()}
+    want = brute_mix([(place[i], s, len(t.split())) for i, t, s in rows], block_words)
+    assert got == {i: n for (i, *_), n in zip(rows, want)}
+
+
 @pytest.mark.parametrize("block_words", [1, 40, 2500])
 def test_mix_settles_every_source_at_any_block(spark, block_words):
     """Sources below one block, of 2-3 blocks and far above, and one with more words than its target."""

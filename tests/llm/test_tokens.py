@@ -127,3 +127,35 @@ def test_packing_holds_every_capacity():
     sequence, _ = best_fit(lengths, (1024, 3, 120_000.0), (1.0, 1.0, 1.0))
     assert np.bincount(sequence).max() <= 3
     assert np.bincount(sequence, weights=lengths.astype(float) ** 2).max() <= 120_000
+
+
+def plain_best_fit(lengths, capacity, weights, by):
+    """Piece by piece over all sequences so far; what each sequence holds in the end."""
+    bins = []
+    for n in sorted(lengths, reverse=True):
+        need = (n, 1.0, float(n) ** 2)
+        best, score = None, None
+        for b in bins:
+            left = [c - u for c, u in zip(capacity, b)]
+            if all(x >= y for x, y in zip(left, need)):
+                if by == "norm":
+                    s = -sum(w * ((x - y) / c) ** 2 for w, x, y, c in zip(weights, left, need, capacity))
+                else:
+                    s = sum(w * (y / c) * (x / c) for w, x, y, c in zip(weights, left, need, capacity))
+                if score is None or s > score + 1e-15:
+                    best, score = b, s
+        if best is None:
+            bins.append(best := [0.0, 0.0, 0.0])
+        for k in range(3):
+            best[k] += need[k]
+    return sorted(map(tuple, bins))
+
+
+@pytest.mark.parametrize("by", ["norm", "dot"])
+@pytest.mark.parametrize("capacity", [(1024, 1024, 1024.0**2), (1024, 5, 300_000.0), (900, 3, 900.0**2)])
+def test_best_fit_equals_brute_force(by, capacity):
+    """The same sequences by all three needs, where two of them bind and where they don't."""
+    lengths, weights = np.random.default_rng(7).integers(1, 500, 400), (1.0, 0.31, 0.17)
+    sequence, _ = best_fit(lengths, capacity, weights, by)
+    held = [(float(lengths[sequence == s].sum()), float((sequence == s).sum()), float((lengths[sequence == s].astype(float) ** 2).sum())) for s in np.unique(sequence)]
+    assert sorted(held) == plain_best_fit(lengths.tolist(), capacity, weights, by)
