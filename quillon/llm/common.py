@@ -97,7 +97,7 @@ def as_bytes(column) -> list[bytes]:
 class WordHash(dict):
     """word -> 64-bit hash, remembered up to a bound."""
 
-    def __init__(self, seed: int = 0, most: int = 1 << 19):
+    def __init__(self, seed: int = 0, most: int = 1 << 18):
         super().__init__()
         self.seed, self.most = seed, most
 

@@ -25,17 +25,19 @@ columns are ignored; an empty table gives no rows.
 from __future__ import annotations
 
 import hashlib
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import MASK, as_bytes, identity, mix, portions, table, written
 
-ROW = "doc_id long, r1 long, r2 long"
+KEY, ROW = ["doc_id", "r1", "r2"], "doc_id long, r1 long, r2 long"
+#: A span of windows is one number, first * PACK + n.
+PACK = 1 << 20
 ANCHOR = {"a": pa.int64(), "g1": pa.int64(), "g2": pa.int64(), "first": pa.int32(), "n": pa.int32()}
 FIELDS = "a:long,g1:long,g2:long,first:int,n:int"
 OUT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
@@ -46,7 +48,7 @@ _BASES = (0x9E3779B97F4A7C15 & ~7 | 5, 0xD1342543DE82EF95 & ~7 | 5)
 class WordTable(dict):
     """word -> its place in two tables of independent 64-bit hashes, remembered up to a bound."""
 
-    def __init__(self, seed: int, most: int = 1 << 19):
+    def __init__(self, seed: int, most: int = 1 << 18):
         super().__init__()
         self.seed, self.most, self.lanes = seed, most, np.empty((2, most), np.uint64)
 
@@ -130,11 +132,22 @@ def anchors_of(lists: list[list[bytes]], live: np.ndarray, size: int, window: in
     return first, {"a": grams[place], "g1": around[0], "g2": around[1], "n": n}
 
 
-def runs(starts: list[int], counts: list[int]) -> np.ndarray:
-    """All numbers of the runs, ascending, once each."""
-    starts, counts = np.asarray(starts, np.int64), np.asarray(counts, np.int64)
-    inside = np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
-    return np.unique(np.repeat(starts, counts) + inside)
+def every_window(sizes: np.ndarray, window: int) -> np.ndarray:
+    """The windows of lists of these sizes, by their first words' places in all lists one after the other."""
+    counts = np.maximum(0, sizes - window + 1)
+    return np.arange(int(counts.sum())) + np.repeat(np.cumsum(sizes) - sizes - (np.cumsum(counts) - counts), counts)
+
+
+def spans_of(column) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, first window, number of windows) of a column of packed spans, neighbours joined."""
+    sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+    row, packed = np.repeat(np.arange(len(sizes)), sizes), column.flatten().to_numpy(zero_copy_only=False)
+    order = np.lexsort((packed, row))
+    row, first, n = row[order], packed[order] // PACK, packed[order] % PACK
+    if not len(row):
+        return row, first, n
+    begin = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (first[1:] != first[:-1] + n[:-1])])
+    return row[begin], first[begin], np.add.reduceat(n, begin)
 
 
 def _arrow(found: dict[str, np.ndarray], first: np.ndarray) -> list[pa.Array]:
@@ -152,31 +165,41 @@ def _first_level(size: int, window: int):
     def find(batches):
         for batch in portions(batches):
             lists = [t.split() for t in as_bytes(batch.column("text"))]
-            sizes = np.asarray([len(w) for w in lists], np.int64)
-            at = np.cumsum(sizes) - sizes
-            windows = np.where(batch.column("doc_id").is_null().to_numpy(zero_copy_only=False), 0, np.maximum(0, sizes - window + 1))
-            first, found = anchors_of(lists, runs(at, windows), size, window)
-            doc = np.searchsorted(at + sizes, first, side="right")
-            ends = np.r_[0, np.cumsum(np.bincount(doc, minlength=len(lists)))].astype(np.int32)
-            anchors = pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays(_arrow(found, first - at[doc]), list(ANCHOR)))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "r1", "r2")), pa.array(sizes), pa.array([digest(w) for w in lists], pa.string()), anchors], ["doc_id", "r1", "r2", "n_words", "kept_sha256", "anchors"])
+            used = [[] if null else words for null, words in zip(batch.column("doc_id").is_null().to_pylist(), lists)]
+            sizes = np.asarray([len(w) for w in used], np.int64)
+            first, found = anchors_of(used, every_window(sizes, window), size, window)
+            ends = np.cumsum(sizes)
+            doc = np.searchsorted(ends, first, side="right")
+            offsets = np.r_[0, np.cumsum(np.bincount(doc, minlength=len(lists)))].astype(np.int32)
+            anchors = pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays(_arrow(found, first - (ends - sizes)[doc]), list(ANCHOR)))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in KEY), pa.array([len(w) for w in lists], pa.int64()), pa.array([digest(w) for w in lists], pa.string()), anchors], [*KEY, "n_words", "kept_sha256", "anchors"])
 
     return find
 
 
 def _next_level(size: int, window: int):
-    """The windows of the spans are live."""
+    """The windows of the open spans are live. Spans whose words overlap form a region, and no
+    other words are hashed."""
 
     def find(batches):
         for batch in portions(batches):
-            lists = [t.split() for t in as_bytes(batch.column("text"))]
-            sizes = np.asarray([len(w) for w in lists], np.int64)
-            at = np.cumsum(sizes) - sizes
-            spans = [(int(a) + s["first"], s["n"]) for a, of in zip(at, batch.column("spans").to_pylist()) for s in of]
-            first, found = anchors_of(lists, runs(*zip(*spans)) if spans else np.zeros(0, np.int64), size, window)
-            doc = np.searchsorted(at + sizes, first, side="right")
-            rows = pa.array(doc)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(rows) for c in ("doc_id", "r1", "r2")), *_arrow(found, first - at[doc])], ["doc_id", "r1", "r2", *ANCHOR])
+            row, start, n = spans_of(batch.column("open"))
+            stop = start + n + window - 1
+            new = np.r_[True, (row[1:] != row[:-1]) | (start[1:] > stop[:-1])][: len(row)]
+            begin, region = np.flatnonzero(new), np.cumsum(new) - 1
+            left, right = start[begin], stop[np.r_[begin[1:], len(row)][: len(begin)] - 1]
+            texts, words, lists = as_bytes(batch.column("text")), {}, []
+            for i, a, b in zip(row[begin].tolist(), left.tolist(), right.tolist()):
+                if i not in words:
+                    words = {i: texts[i].split()}
+                lists.append(words[i][a:b])
+            ends = np.cumsum(right - left)
+            moved = ends - right  # from a place in its text to its place in all lists
+            live = np.repeat(start + moved[region] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+            first, found = anchors_of(lists, live, size, window)
+            of = np.searchsorted(ends, first, side="right")
+            rows = pa.array(row[begin][of])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(rows) for c in KEY), *_arrow(found, first - moved[of])], [*KEY, *ANCHOR])
 
     return find
 
@@ -184,17 +207,18 @@ def _next_level(size: int, window: int):
 def _keep(window: int):
     def keep(batches):
         for batch in portions(batches):
+            row, start, n = spans_of(batch.column("spans"))
+            at = np.searchsorted(row, np.arange(batch.num_rows + 1))
             n_words, gone, shas = [], [], []
-            for text, spans in zip(as_bytes(batch.column("text")), batch.column("spans").to_pylist()):
-                words = text.split()
-                edge = np.zeros(len(words) + 1, np.int64)
-                for s in spans or ():
-                    edge[s["first"]] += 1
-                    edge[s["first"] + s["n"] + window - 1] -= 1
-                covered = np.cumsum(edge[:-1]) > 0
+            for i, text in enumerate(as_bytes(batch.column("text"))):
+                words, kept, done, covered = text.split(), [], 0, 0
+                for a, b in zip(start[at[i] : at[i + 1]].tolist(), (start + n + window - 1)[at[i] : at[i + 1]].tolist()):
+                    kept += words[done : max(a, done)]
+                    covered += b - max(a, done) if b > done else 0
+                    done = max(done, b)
                 n_words.append(len(words))
-                gone.append(int(covered.sum()))
-                shas.append(digest([x for x, c in zip(words, covered.tolist()) if not c]))
+                gone.append(covered)
+                shas.append(digest(kept + words[done:]))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(gone, pa.int64()), pa.array(shas, pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
     return keep
@@ -211,40 +235,41 @@ def level_sizes(window: int, least: int = 7) -> list[int]:
 def substring_dedup(docs: DataFrame, window: int = 50, least: int = 7, trace: list[tuple[int, int, int]] | None = None) -> DataFrame:
     """doc_id, n_words, n_removed and the digest of the kept words. Into ``trace``, if one is
     given, goes (length, anchors, anchors that are still open) of each level."""
-    if window < 2:
-        raise ValueError("window must be at least 2")
-    key, sizes = ["doc_id", "r1", "r2"], level_sizes(window, least)
+    if not 2 <= window < PACK:
+        raise ValueError(f"window must be at least 2 and below {PACK}")
+    sizes = level_sizes(window, least)
     rows = docs.select("doc_id", *identity(), "text")
     all_rows = written(rows.mapInArrow(_first_level(sizes[0], window), f"{ROW}, n_words long, kept_sha256 string, anchors array<struct<{FIELDS}>>"), "anchors")
-    anchors, texts, marked, settled = all_rows.select(*key, F.inline("anchors")), rows, None, []
+    anchors, marked, settled = all_rows.select(*KEY, F.inline("anchors")), None, []
     for size, following in zip(sizes, [*sizes[1:], None]):
-        by = ["a"] if following else ["a", "g1", "g2"]
-        differ = (F.min("g1") != F.max("g1")) | (F.min("g2") != F.max("g2"))
-        groups = anchors.groupBy(*by).agg(F.min("doc_id").alias("least_doc"), F.max("doc_id").alias("most_doc"), (differ if following else F.lit(False)).alias("open"))
+        # on the last level the two hashes of all words are the key, and no window is open
+        by = ["a"] if following else ["g1", "g2"]
+        differ = (F.min("g1") != F.max("g1")) | (F.min("g2") != F.max("g2")) if following else F.lit(False)
+        groups = anchors.groupBy(*by).agg(F.min("doc_id").alias("least_doc"), F.max("doc_id").alias("most_doc"), differ.alias("open"))
         repeated = written(groups.where("least_doc < most_doc").select(*by, "least_doc", "open"), "repeated")
-        alive = anchors.join(repeated, by).where("open or doc_id > least_doc").select(*key, "first", "n", "open")
-        still_open = not repeated.where("open").isEmpty()
+        span = F.col("first").cast("long") * PACK + F.col("n")
+        alive = anchors.join(repeated, by).where("open or doc_id > least_doc").select(*KEY, "open", span.alias("span"))
+        gathered = alive.groupBy(*KEY).agg(F.collect_set(F.when(F.col("open"), F.col("span"))).alias("open"), F.collect_set(F.when(~F.col("open"), F.col("span"))).alias("settled"))
         if trace is not None:
             trace.append((size, anchors.count(), alive.where("open").count()))
-        spans = alive.groupBy(*key).agg(F.collect_set(F.struct("first", "n", "open")).alias("marks"))
         if marked is None:
-            marked = written(texts.join(spans, key), "marked")
-            settled.append(marked.select(*key, F.explode("marks").alias("m")).where("not m.open"))
-            texts = marked.withColumn("spans", F.filter("marks", lambda m: m["open"])).where(F.size("spans") > 0).drop("marks")
+            spans = marked = written(rows.join(gathered, KEY), "marked")
+            texts = marked
         else:
-            spans = written(spans, "spans")
-            settled.append(spans.select(*key, F.explode("marks").alias("m")).where("not m.open"))
-            open_spans = spans.select(*key, F.filter("marks", lambda m: m["open"]).alias("spans")).where(F.size("spans") > 0)
-            texts = marked.select(*key, "text").join(open_spans, key)
-        if not still_open or not following:
+            spans = written(gathered, "spans")
+            texts = marked.select(*KEY, "text").join(spans.where(F.size("open") > 0).select(*KEY, "open"), KEY)
+        settled.append(spans.where(F.size("settled") > 0).select(*KEY, "settled"))
+        if not following or repeated.where("open").isEmpty():
             break
-        anchors = written(texts.select(*key, "text", "spans").mapInArrow(_next_level(following, window), f"{ROW}, {FIELDS.replace(':', ' ')}"), "anchors")
-    removed = settled[0]
-    for more in settled[1:]:
-        removed = removed.unionByName(more)
-    removed = written(removed.groupBy(*key).agg(F.collect_set(F.struct("m.first", "m.n")).alias("spans")), "removed")
-    changed = marked.select(*key, "text").join(removed, key).select("doc_id", "text", "spans").mapInArrow(_keep(window), OUT)
-    same = all_rows.select(*key, "n_words", "kept_sha256").join(removed.select(*key), key, "left_anti")
+        anchors = written(texts.where(F.size("open") > 0).select(*KEY, "text", "open").mapInArrow(_next_level(following, window), f"{ROW}, {FIELDS.replace(':', ' ')}"), "anchors")
+    # a list of spans for each level that removes something of the document, and few levels
+    removed = settled[0].withColumn("level", F.lit(0))
+    for level, more in enumerate(settled[1:], 1):
+        removed = removed.unionByName(more.withColumn("level", F.lit(level)))
+    lists = F.array_sort(F.collect_set(F.struct("level", "settled")))
+    removed = written(removed.groupBy(*KEY).agg(F.flatten(F.transform(lists, lambda x: x["settled"])).alias("spans")), "removed")
+    changed = marked.select(*KEY, "text").join(removed, KEY).select("doc_id", "text", "spans").mapInArrow(_keep(window), OUT)
+    same = all_rows.select(*KEY, "n_words", "kept_sha256").join(removed.select(*KEY), KEY, "left_anti")
     return changed.unionByName(same.select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), "kept_sha256"))
 
 
