@@ -15,7 +15,8 @@ has taken a run of its repeated stream that ends near its target, not at it. The
 drawn on or cut back to the rounded target, whatever the size of the blocks.
 
 Ranks and stream places are two-level prefix sums (by stretches of slots, by ranges of the
-hash), so a source with most of the rows is spread over many tasks.
+hash, by ranges of the sources' order), so neither a source with most of the rows nor very many
+sources (hosts, say) end in one task; one task sees a number per stretch or range at most.
 
 Edge cases: null sources are a source of their own, last in order; null or empty texts have
 size 0 and are taken 0 times; repeated rows and null doc_ids are rows like any other; a table
@@ -31,16 +32,34 @@ from pyspark.sql import functions as F
 from .common import table, word_count, written
 
 GOLDEN = 0.6180339887498949
-STRETCH, RANGES = 4096, 1024
+STRETCH = 4096
+
+
+def numbered(rows: DataFrame, order: list[Column]) -> DataFrame:
+    """Adds place, from 0 in ``order``: ranges of the order are numbered in tasks of their own,
+    behind the number of rows in the ranges before."""
+    dealt = written(rows.repartitionByRange(*order).withColumn("range", F.spark_partition_id()), "numbered")
+    counts = dealt.groupBy("range").agg(F.count("*").alias("n"))
+    before = counts.select("range", (F.sum("n").over(W.orderBy("range")) - F.col("n")).alias("before"))
+    within = F.row_number().over(W.partitionBy("range").orderBy(*order)) - 1
+    return dealt.withColumn("within", within).join(before, "range").withColumn("place", F.col("before") + F.col("within")).drop("range", "within", "before")
+
+
+def running_sum(rows: DataFrame, column: str) -> DataFrame:
+    """Adds upto, the sum of ``column`` up to and with each place."""
+    cut = rows.withColumn("stretch", F.floor(F.col("place") / STRETCH))
+    sums = cut.groupBy("stretch").agg(F.sum(column).alias("words"))
+    before = sums.select("stretch", F.coalesce(F.sum("words").over(W.orderBy("stretch").rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0)).alias("before"))
+    within = F.sum(column).over(W.partitionBy("stretch").orderBy("place").rowsBetween(W.unboundedPreceding, 0))
+    return cut.withColumn("within", within).join(before, "stretch").withColumn("upto", F.col("before") + F.col("within")).drop("stretch", "within", "before")
 
 
 def source_targets(sizes: DataFrame, weights: tuple[float, ...], most_epochs: int) -> DataFrame:
-    """source, source_size, target of each source, weights repeating in code point order."""
-    sums = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    # one row per source; ordering their names is the one thing done in a single task
-    place = F.row_number().over(W.orderBy(F.col("source").isNull(), F.encode("source", "UTF-8"))) - 1
-    weight = F.element_at(F.array(*map(F.lit, weights)), (place % len(weights) + 1).cast("int"))
-    sources = written(sums.select("source", "source_size", weight.cast("double").alias("weight"), (F.col("source_size") * most_epochs).cast("double").alias("cap")), "sources")
+    """place (from 0, in code point order), source, source_size, target of each source, weights
+    repeating in that order."""
+    sums = numbered(sizes.groupBy("source").agg(F.sum("size").alias("source_size")), [F.col("source").isNull(), F.encode("source", "UTF-8")])
+    weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("place") % len(weights) + 1).cast("int"))
+    sources = written(sums.select("place", "source", "source_size", weight.cast("double").alias("weight"), (F.col("source_size") * most_epochs).cast("double").alias("cap")), "sources")
     level, capped = 0.0, -1
     while True:
         full = F.col("cap") <= level * F.col("weight")
@@ -49,7 +68,7 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...], most_epochs: in
             break
         level, capped = ((total or 0) - (taken or 0.0)) / free, n
     target = F.least("cap", F.lit(float(level)) * F.col("weight")) if free else F.col("cap")
-    return sources.select("source", "source_size", target.alias("target"))
+    return sources.select("place", "source", "source_size", target.alias("target"))
 
 
 def points(slot: Column, kind: str = "golden") -> Column:
@@ -65,12 +84,12 @@ def points(slot: Column, kind: str = "golden") -> Column:
     raise ValueError(kind)
 
 
-def schedule(spark: SparkSession, parts: DataFrame, slots: int, kind: str = "golden") -> DataFrame:
+def schedule(spark: SparkSession, parts: DataFrame, slots: int, kind: str = "golden", grid: int = 4096) -> DataFrame:
     """slot, source_no, rank (from 0, within the source) from ``parts``: source_no, low, high.
 
     The parts are one small row per source; a broadcast happens only below Spark's own size
-    threshold, and beyond it the join is made on the integer hundredth-thousandths of [0, 1)."""
-    grid = 4096
+    threshold, and beyond it the join is made on the ``grid`` cells of [0, 1): with as many
+    cells as sources, a cell meets about two of them."""
     points_ = spark.range(slots).select(F.col("id").alias("slot"), points(F.col("id"), kind).alias("x"))
     cells = parts.select("source_no", "low", "high", F.explode(F.sequence(F.floor(F.col("low") * grid), F.least(F.floor(F.col("high") * grid), F.lit(grid - 1)))).alias("cell"))
     placed = points_.withColumn("cell", F.floor(F.col("x") * grid)).join(cells, "cell").where("x >= low and x < high")
@@ -93,15 +112,14 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), most_epoc
     sizes = written(docs.select("doc_id", "source", F.xxhash64("text").alias("key"), word_count(F.col("text")).alias("size")), "sizes")
     targets = source_targets(sizes, weights, most_epochs)
     goal = F.col("target")
-    order = W.orderBy(F.col("source").isNull(), F.encode("source", "UTF-8"))
-    running = targets.select("source", "source_size", "target", F.row_number().over(order).alias("source_no"), F.sum(goal).over(order.rowsBetween(W.unboundedPreceding, 0)).alias("upto"))
-    sources = written(running, "targets")
+    sources = written(running_sum(targets, "target").select("source", "source_size", "target", (F.col("place") + 1).alias("source_no"), "upto"), "targets")
     total = sources.agg(F.max("upto")).first()[0] or 0.0
     block = block_words or int(min(max(total // 2_000_000, 1), 8192))
     slots = int(-(-total // block))
     parts = sources.where("target > 0").select("source_no", ((F.col("upto") - goal) / total).alias("low"), F.when(F.col("upto") >= total, 1.0).otherwise(F.col("upto") / total).alias("high")) if total else sources.select("source_no", F.lit(0.0).alias("low"), F.lit(0.0).alias("high")).limit(0)
     blocks = F.ceil(F.col("source_size") / block)
-    ranked = schedule(spark, parts, slots, kind).join(sources.where("source_size > 0").select("source_no", "source_size", blocks.alias("blocks")), "source_no")
+    grid = max(4096, 1 << sources.count().bit_length())
+    ranked = schedule(spark, parts, slots, kind, grid).join(sources.where("source_size > 0").select("source_no", "source_size", blocks.alias("blocks")), "source_no")
     times = ranked.where(F.col("rank") < F.col("blocks") * most_epochs).groupBy("source_no", "source_size", (F.col("rank") % F.col("blocks")).alias("block")).agg(F.count("*").alias("times"))
     times = written(times, "times")
     in_block = F.least(F.lit(block), F.col("source_size") - F.col("block") * block)
@@ -109,7 +127,8 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), most_epoc
 
     keyed = sizes.join(sources, sizes["source"].eqNullSafe(sources["source"])).select("doc_id", sizes["source"], "key", "size", "source_size", "target", "source_no")
     shuffle = F.xxhash64("doc_id", "key", F.lit(seed))
-    placed = keyed.withColumn("place", shuffle).withColumn("range", F.shiftrightunsigned("place", 54))
+    bits = max(10, (sizes.count() >> 20).bit_length())  # about a million rows a range
+    placed = keyed.withColumn("place", shuffle).withColumn("range", F.shiftrightunsigned("place", 64 - bits))
     ranges = placed.groupBy("source_no", "range").agg(F.sum("size").alias("words"))
     before = ranges.select("source_no", "range", (F.sum("words").over(W.partitionBy("source_no").orderBy("range")) - F.col("words")).alias("before"))
     upto = F.sum("size").over(W.partitionBy("source_no", "range").orderBy("place", "doc_id", "key").rowsBetween(W.unboundedPreceding, 0))
