@@ -1,10 +1,11 @@
 """Connected components by alternating large-star and small-star steps.
 
-Edges stay distributed. Every step reduces each node's neighbours to one minimum by map-side
-aggregation and writes these minima before the many edges meet them: Spark then knows their
-size, sends small ones to all tasks and can split a node with very many edges, neither of which
-it can do on top of an aggregation. Nothing but a count and a checksum of the edges comes to
-the driver.
+Edges stay distributed. The large-star step reduces each node's neighbours to one minimum by
+map-side aggregation and writes these minima before the many edges meet them: Spark then knows
+their size, sends small ones to all tasks and can split a node with very many edges, neither of
+which it can do on top of an aggregation. (In the small-star step a node meets its smaller
+neighbours alone, and large-star has left few of them.) The steps end when every edge leads
+from a node to its root; nothing of the edges comes to the driver.
 """
 
 from __future__ import annotations
@@ -26,23 +27,32 @@ def _large(edges: DataFrame) -> DataFrame:
 
 
 def _small(edges: DataFrame) -> DataFrame:
-    down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = written(down.groupBy("u").agg(F.min("v").alias("m")), "least")
+    down = _down(edges)
+    least = down.groupBy("u").agg(F.min("v").alias("m"))
     moved = down.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).where("u != v").distinct()
 
 
+def _down(edges: DataFrame) -> DataFrame:
+    return edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+
+
+def _stars(edges: DataFrame) -> bool:
+    """Whether every node has one edge to a root, and no root has one."""
+    several = edges.groupBy("u").agg(F.count("*").alias("n")).where("n > 1").select("u")
+    between = edges.select("u").join(edges.select(F.col("v").alias("u")).distinct(), "u", "left_semi")
+    return several.unionByName(between).isEmpty()
+
+
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """edges (u, v) of any one orderable type; returns (node, root) of every node with an edge,
     root the smallest node of its component, as a written table. An edge from a node to itself
     or a null end is no edge; without edges there are no rows."""
-    edges, before = written(edges.select("u", "v").where("u != v").distinct(), "edges"), None
+    edges = written(_down(edges.where("u != v")).distinct(), "edges")
     for _ in range(most_rounds):
-        edges = written(_small(written(_large(edges), "edges")), "edges")
-        now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if now == before or not now[0]:
+        if _stars(edges):
             break
-        before = now
+        edges = written(_small(_large(edges)), "edges")
     else:
         raise RuntimeError("components did not converge")
     nodes = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
