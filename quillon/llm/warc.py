@@ -233,8 +233,9 @@ def read_archives(files: DataFrame, split_bytes: int = 4 << 20, with_damaged: bo
     can't be read."""
     starts = F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("size") - 1, F.lit(0)).cast("long"), F.lit(split_bytes).cast("long"))).alias("start")
     ranges = files.where("size > 0").select("path", "size", starts).select("path", "start", F.least(F.col("start") + split_bytes, "size").alias("end"))
-    tasks = max(1, ranges.count())
-    return ranges.repartition(min(tasks, 100_000), "path", "start").mapInArrow(_read(with_damaged), RECORDS)
+    # as many tasks as the bytes need, not as there are ranges: small archives share one
+    total = ranges.agg(F.sum(F.col("end") - F.col("start"))).first()[0] or 0
+    return ranges.repartition(min(max(1, -(-total // split_bytes)), 100_000), "path", "start").mapInArrow(_read(with_damaged), RECORDS)
 
 
 def response_records(pages: DataFrame, least: int = 100) -> DataFrame:
