@@ -27,7 +27,6 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .common import WordHash, as_bytes, pair, portions, table
 
@@ -153,11 +152,24 @@ def score_toxicity(docs: DataFrame, model: Weights) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(_score(model), "doc_id long, score double")
 
 
+def _reject(model: Weights, threshold: float):
+    def reject(batches):
+        dense = model.dense()
+        for batch in batches:
+            rows = batch.column("row")
+            texts = pa.RecordBatch.from_arrays([rows.field("text"), rows], ["text", "row"])
+            for part in portions([texts]):
+                good = [model.score(text, dense) < threshold for text in as_bytes(part.column("text"))]
+                yield pa.RecordBatch.from_arrays([part.column("row").filter(pa.array(good, pa.bool_()))], ["row"])
+
+    return reject
+
+
 def reject_toxic(docs: DataFrame, model: Weights, threshold: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` that score below ``threshold``, all columns unchanged."""
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), "text")
-    schema = T.StructType([rows.schema["row"], T.StructField("score", T.DoubleType())])
-    return rows.mapInArrow(_score(model), schema).where(F.col("score") < threshold).select("row.*")
+    """The rows of ``docs`` that score below ``threshold``, all columns unchanged. A row and its
+    text travel once."""
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    return rows.mapInArrow(_reject(model, threshold), rows.schema).select("row.*")
 
 
 def op3_ftrl_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
