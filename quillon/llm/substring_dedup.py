@@ -1,6 +1,6 @@
 """Substring dedup by level-wise doubling of repeated word windows.
 
-The levels are lengths that double up to the window: 7, 13, 25 and 50 words for 50. On each
+The levels are lengths that double up to the window: 13, 25 and 50 words for 50. On each
 level every live window is stood for by its anchor, the run of that length inside it whose hash
 is smallest. Equal windows have equal anchors at equal places, so a window whose anchor is seen
 in one document alone is dropped there; the others live on and are looked at again at twice the
@@ -224,15 +224,16 @@ def _keep(window: int):
     return keep
 
 
-def level_sizes(window: int, least: int = 7) -> list[int]:
-    """Lengths of the levels: halves, rounded up, down to ``least``."""
+def level_sizes(window: int, least: int = 13) -> list[int]:
+    """Lengths of the levels: halves, rounded up, until one is at most ``least``; two levels at
+    least, but none under 4 words."""
     sizes = [window]
-    while sizes[-1] > least and -(-sizes[-1] // 2) >= min(least, 4):
+    while (sizes[-1] > least or len(sizes) < 2) and -(-sizes[-1] // 2) >= 4:
         sizes.append(-(-sizes[-1] // 2))
     return sizes[::-1]
 
 
-def substring_dedup(docs: DataFrame, window: int = 50, least: int = 7, trace: list[tuple[int, int, int]] | None = None) -> DataFrame:
+def substring_dedup(docs: DataFrame, window: int = 50, least: int = 13, trace: list[tuple[int, int, int]] | None = None) -> DataFrame:
     """doc_id, n_words, n_removed and the digest of the kept words. Into ``trace``, if one is
     given, goes (length, anchors, anchors that are still open) of each level."""
     if not 2 <= window < PACK:

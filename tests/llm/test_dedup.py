@@ -49,21 +49,21 @@ def test_substring_windows_at_the_edges_of_a_passage(spark):
 
 def test_levels_double_and_end_when_none_survives(spark):
     """Passages of 9, 20, 40 and 70 shared words: each lives on while the level's length allows it."""
-    assert level_sizes(50) == [7, 13, 25, 50] and level_sizes(8) == [4, 8] and level_sizes(2) == [2]
+    assert level_sizes(50) == [13, 25, 50] and level_sizes(50, 7) == [7, 13, 25, 50] and level_sizes(8) == [4, 8] and level_sizes(2) == [2]
     texts, open_at = [], {}
     for k, size in enumerate((9, 20, 40, 70)):
         passage = prose(300 + k, size).replace("\n", " ")
         pair = [(10 * k + i, f"{prose(400 + 10 * k + i, 60)} {passage} {prose(500 + 10 * k + i, 60)}") for i in range(2)]
         trace = []
         df = spark.createDataFrame(pair, "doc_id long, text string")
-        assert sorted(map(tuple, substring_dedup(df, trace=trace).collect()), key=repr) == brute_substrings(pair, 50)
+        assert sorted(map(tuple, substring_dedup(df, least=7, trace=trace).collect()), key=repr) == brute_substrings(pair, 50)
         open_at[size] = [s for s, _, alive in trace if alive]
         assert [s for s, *_ in trace] == [7, 13, 25, 50][: len(trace)] and trace[-1][2] == 0
         texts += pair
     assert open_at[9] in ([], [7]) and 25 not in open_at[20] and 50 not in open_at[70]
     assert max(open_at[9], default=0) <= max(open_at[20], default=0) <= max(open_at[40], default=0)
     trace = []
-    assert sorted(map(tuple, substring_dedup(spark.createDataFrame(texts, "doc_id long, text string"), trace=trace).collect()), key=repr) == brute_substrings(texts, 50)
+    assert sorted(map(tuple, substring_dedup(spark.createDataFrame(texts, "doc_id long, text string"), least=7, trace=trace).collect()), key=repr) == brute_substrings(texts, 50)
     survivors = [alive for *_, alive in trace]
     assert survivors == sorted(survivors, reverse=True) and survivors[0] > survivors[-1] == 0
 
