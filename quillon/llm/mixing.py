@@ -74,11 +74,12 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...], most_epochs: in
 def points(slot: Column, kind: str = "golden") -> Column:
     """The slot's point in [0, 1)."""
     if kind == "golden":
-        # the fraction of k * golden in 53-bit steps, exact at any k
-        step = int(GOLDEN * (1 << 53))
-        high, low = F.floor((slot + 1) / (1 << 20)).cast("long"), (slot + 1) % (1 << 20)
-        product = F.pmod(low.cast("decimal(38,0)") * F.lit(step) + high.cast("decimal(38,0)") * F.lit((step << 20) % (1 << 53)), F.lit(1 << 53).cast("decimal(38,0)"))
-        return product.cast("double") / float(1 << 53)
+        # the fraction of k * golden in 53-bit steps, exact for k below 2**53: products of halves
+        # of at most 27 bits never leave 64 bits, and only the low 53 bits matter
+        step, half = int(GOLDEN * (1 << 53)), (1 << 26) - 1
+        high, low = F.shiftright(slot + 1, 26), (slot + 1).bitwiseAND(half)
+        middle = (high * (step & half) + low * (step >> 26) + high.bitwiseAND((step >> 26) & 1) * (1 << 26)).bitwiseAND((1 << 27) - 1)
+        return (F.shiftleft(middle, 26) + low * (step & half)).bitwiseAND((1 << 53) - 1).cast("double") / float(1 << 53)
     if kind == "van_der_corput":
         return F.conv(F.rpad(F.reverse(F.bin(slot)), 53, "0"), 2, 10).cast("double") / float(1 << 53)
     raise ValueError(kind)

@@ -222,6 +222,12 @@ def test_targets_reshare_until_none_is_above(spark):
     assert got == {"a": 958.0, "b": 30.0, "c": 30.0, "d": 3.0}
 
 
+def test_golden_points_are_exact(spark):
+    slots = [0, 1, 2, 1000, 2**26 - 1, 2**26, 2**31, 2**40 + 12345, 2**52 + 7, 2**53 - 2]
+    got = [r[0] for r in spark.createDataFrame([(k,) for k in slots], "id long").select(points(F.col("id"))).collect()]
+    assert got == [(k + 1) * int(0.6180339887498949 * 2**53) % 2**53 / 2**53 for k in slots]
+
+
 @pytest.mark.parametrize("kind", ["golden", "van_der_corput"])
 def test_points_are_spread(spark, kind):
     x = sorted(r[0] for r in spark.range(2048).select(points(F.col("id"), kind)).collect())
