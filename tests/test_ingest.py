@@ -173,3 +173,18 @@ def test_once_window_and_repointing(spark):
     links = spark.createDataFrame([("1", "p", "c"), ("2", "p", "c"), ("3", "p", "d")], "id string, parent_id string, child_id string")
     kept, moved = repoint_links(links, spark.createDataFrame([("s", "1"), ("s", "2"), ("t", "2"), ("t", "3")], "submission_id string, link_id string"))
     assert kept.count() == 2 and sorted(map(tuple, moved.collect())) == [("s", "1"), ("t", "1"), ("t", "3")]
+
+
+def test_stream_of_bounded_batches(spark, catalog, tmp_path):
+    """A batch has a bounded number of bytes, and batches leave what one batch leaves."""
+    e = [entity(), entity(domain="fan")]
+    docs = [doc(device(model=f"m{k % 4}", entities=e[: k % 3]), device(model="hub", entities=e), device(model="hub", entities=e)) for k in range(2)]
+    docs.append(doc(device(model="hub"), device(model="leaf", via_device=["hue", 0])))
+    rows = [delivery(f"d{k:02d}", d, at=k) for k, d in enumerate(docs)]
+    for k, row in enumerate(rows):
+        spark.createDataFrame([row], DELIVERY).coalesce(1).write.mode("append").json(str(tmp_path / "in"), compression="gzip")
+    stream(spark, str(tmp_path / "in"), catalog, str(tmp_path / "progress"), once=True, bytes_per_trigger=1).awaitTermination()
+    assert catalog.manifest()[0] == len(rows)
+    at_once = Catalog(spark, str(tmp_path / "other"))
+    ingest(at_once, spark.createDataFrame(rows, DELIVERY))
+    assert at_once.manifest()[0] == 1 and counts(catalog) == counts(at_once) and counts(catalog)["link"] == 1
