@@ -16,7 +16,8 @@ SUBMISSION, PERMUTATION_PART = 7, 77
 
 
 class StandIns(dict):
-    """Tables by name, made when they are first asked for."""
+    """Tables by name, made when they are first asked for. What is reduced to distinct rows is
+    dealt by the column that it is joined by, so that the join needn't deal it again."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         super().__init__()
@@ -44,7 +45,7 @@ class StandIns(dict):
         return self.raw("lineitem").select(F.col("l_orderkey").alias("submission_id"), F.col("l_partkey").alias("device_id")).distinct()
 
     def _permutation(self):
-        rows = self.raw("lineitem").select("l_partkey", "l_suppkey", "l_linenumber").distinct()
+        rows = self.raw("lineitem").select("l_partkey", "l_suppkey", "l_linenumber").repartition("l_partkey").distinct()
         quote = lambda *c: F.concat(F.lit('"'), *c, F.lit('"'))
         return rows.select(
             _permutation_id().alias("id"), F.col("l_partkey").alias("device_id"), F.when(F.col("l_suppkey") % 2 == 0, "service").alias("entry_type"), (F.col("l_linenumber") % 2 == 0).alias("has_configuration_url"),
@@ -63,10 +64,11 @@ class StandIns(dict):
         return self.raw("lineitem").select("l_orderkey", "l_linenumber", _permutation_id().alias("permutation_id"), entity.alias("entity_id"), F.concat_ws("|", _permutation_id(), entity).alias("set_id"))
 
     def _entity_set(self):
-        return self["sets"].select(F.col("set_id").alias("id"), F.sha2("entity_id", 256).alias("hash"), "permutation_id").distinct()
+        rows = self["sets"].select("set_id", "entity_id", "permutation_id").repartition("set_id").distinct()
+        return rows.select(F.col("set_id").alias("id"), F.sha2("entity_id", 256).alias("hash"), "permutation_id")
 
     def _entity_set_content(self):
-        return self["sets"].select("set_id", "entity_id").distinct()
+        return self["sets"].select("set_id", "entity_id").repartition("set_id").distinct()
 
     def _attribution_set(self):
         return self["sets"].select(F.concat_ws("/", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("id"), F.col("l_orderkey").alias("submission_id"), "set_id")

@@ -50,3 +50,23 @@ def test_cycles_of_every_conversation_are_found(spark, tables):
     put("conversations", [(c, n, r, "x") for c in range(40) for n, r in enumerate(roles)], "conv_id long, turn long, role string, text string")
     got = sorted(map(tuple, QUERIES["link_cycles"](spark, folder).collect()))
     assert got == sorted((c, f"{c}:{n}") for c in range(40) for n in (1, 2, 3))
+
+
+def test_a_reconstructed_device_is_dealt_by_submission_once(spark, tables):
+    """Each exchange holds every device on disk until the query ends: attributions, sets and
+    contents by set, instances and permutations by permutation, permutations and devices by
+    device, and whole devices by submission."""
+    put, folder = tables
+    put("part", [(p, "b", "t", "n", 1) for p in (1, 2, 3)], "p_partkey long, p_brand string, p_type string, p_name string, p_size int")
+    lineitem(put, [(1, 1), (1, 2), (2, 1), (2, 1), (3, 3)])
+    found = QUERIES["reconstructed"](spark, folder)
+    plan = found._jdf.queryExecution().optimizedPlan()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        spread = spark._jsparkSession.sessionState().executePlan(plan, found._jdf.queryExecution().mode()).executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    # one more by entity, which is broadcast where the few entities are
+    assert spread.count("Exchange hashpartitioning") <= 11
+    assert spread.count("Exchange hashpartitioning(submission_id") == 1
+    assert found.count() == 5
