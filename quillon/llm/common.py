@@ -6,9 +6,11 @@ splits at exactly those six bytes, and ``WORD`` is the same rule for Spark's fun
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+import weakref
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +22,7 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 MASK = (1 << 64) - 1
 _local_root: list[str] = []
+_remembered: list[weakref.ref] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -79,6 +82,31 @@ def portions(batches: Iterable[pa.RecordBatch], column: str = "text", most_bytes
             start = stop
 
 
+def give_back() -> None:
+    """Forget remembered words, and return freed memory to the system where the C library can."""
+    for found in _remembered:
+        words = found()
+        if words is not None:
+            words.clear()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def tidy(task: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """``task``, after which a Python worker is as small as before. Workers are used again by
+    the stages that follow, which would otherwise add what each of them remembers."""
+
+    def run(batches):
+        try:
+            yield from task(batches)
+        finally:
+            give_back()
+
+    return run
+
+
 def identity(text: str | Column = "text") -> tuple[Column, Column]:
     """r1, r2: 128 bits that tell apart rows which share a doc_id (equal for equal texts)."""
     text = F.col(text) if isinstance(text, str) else text
@@ -100,6 +128,7 @@ class WordHash(dict):
     def __init__(self, seed: int = 0, most: int = 1 << 18):
         super().__init__()
         self.seed, self.most = seed, most
+        _remembered.append(weakref.ref(self))
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.most:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WordHash, as_bytes, gram_hashes, identity, mix, portions, table, written
+from .common import WordHash, as_bytes, gram_hashes, identity, mix, portions, table, tidy, written
 
 KEY = ["doc_id", "r1", "r2"]
 ROW = "doc_id long, r1 long, r2 long"
@@ -116,11 +116,11 @@ def line_dedup(docs: DataFrame, rolling: int = 2, one_in: int = 2, most: int = 6
     """The rows of ``docs`` as doc_id, text, kept (a struct of the other columns), n_lines, n_removed_lines."""
     how = (rolling, one_in, most)
     rows = docs.select("doc_id", *identity(), "text")
-    digests = written(rows.mapInArrow(_digests(how), CHUNKS), "line-chunks")
+    digests = written(rows.mapInArrow(tidy(_digests(how)), CHUNKS), "line-chunks")
     chunks = digests.select(*KEY, F.inline("chunks"))
     first = written(chunks.groupBy("h").agg(F.min(F.struct("doc_id", "k")).alias("at"), F.count("*").alias("n")).where("n > 1").select("h", "at"), "line-first")
     candidates = chunks.join(first, "h").groupBy(*KEY).agg(F.collect_set("k").alias("ks"))
-    repeated = written(rows.join(candidates, KEY).mapInArrow(_bytes(how), f"{ROW}, k int, h long, chunk binary"), "line-bytes")
+    repeated = written(rows.join(candidates, KEY).mapInArrow(tidy(_bytes(how)), f"{ROW}, k int, h long, chunk binary"), "line-bytes")
     copies = repeated.join(first, "h")
     at = F.struct("doc_id", "k")
     originals = written(copies.where(at == F.col("at")).groupBy("h").agg(F.min("chunk").alias("original")), "line-originals")
@@ -130,7 +130,7 @@ def line_dedup(docs: DataFrame, rolling: int = 2, one_in: int = 2, most: int = 6
     keyed = docs.select("doc_id", "text", (F.struct(*others) if others else F.lit(None).cast("string")).alias("kept"), F.struct("doc_id", *identity()).alias("key"))
     joined = keyed.join(gone, "key", "left").select("doc_id", "kept", "text", "gone")
     schema = T.StructType([joined.schema["doc_id"], joined.schema["kept"], T.StructField("text", T.StringType()), T.StructField("n_lines", T.LongType()), T.StructField("n_removed_lines", T.LongType())])
-    return joined.mapInArrow(_rest(how), schema)
+    return joined.mapInArrow(tidy(_rest(how)), schema)
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHash, as_bytes, gram_hashes, identity, mix, pair, portions, table, written
+from .common import WordHash, as_bytes, gram_hashes, identity, mix, pair, portions, table, tidy, written
 from .components import components
 
 KEY = ["doc_id", "r1", "r2"]
@@ -187,7 +187,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = 20, ro
     """doc_id, r1, r2 (hashes of the text, tell apart rows that share a doc_id), class_id (smallest
     doc_id of the class) and kept (true for the one document of the class that stays)."""
     source = docs.select("doc_id", *identity(), "text")
-    signed = written(source.mapInArrow(_sign(bands, rows), SIGNED), "signatures")
+    signed = written(source.mapInArrow(tidy(_sign(bands, rows)), SIGNED), "signatures")
     keyed = signed.where("key is not null and doc_id is not null")
     reps = keyed.groupBy("key").agg(F.min(F.struct(*KEY)).alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"))
     # the numbers are fixed by this write: later steps read the files
@@ -206,7 +206,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = 20, ro
 
     def links(pairs: DataFrame) -> DataFrame:
         both = pairs.join(text.select(F.col("node").alias("u"), F.col("text").alias("text_u")), "u").join(text.select(F.col("node").alias("v"), F.col("text").alias("text_v")), "v")
-        return written(both.select("u", "v", "text_u", "text_v").mapInArrow(_verify(threshold), "u long, v long"), "links")
+        return written(both.select("u", "v", "text_u", "text_v").mapInArrow(tidy(_verify(threshold)), "u long, v long"), "links")
 
     found = links(tried)
     roots = components(found)

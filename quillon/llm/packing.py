@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import portions, table, written
+from .common import portions, table, tidy, written
 from .tokenizer import encoder, texts
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -108,7 +108,7 @@ def pack_pieces(pieces: DataFrame, room: int = 1024, most_docs: int = 1024, atte
 
 
 def cut_pieces(docs: DataFrame, tokenizer: str, end_id: int, room: int = 1024) -> DataFrame:
-    return docs.select("doc_id", "text").mapInArrow(_cut(tokenizer, end_id, room), PIECES)
+    return docs.select("doc_id", "text").mapInArrow(tidy(_cut(tokenizer, end_id, room)), PIECES)
 
 
 def best_fit_packing(docs: DataFrame, tokenizer: str, end_id: int = 2, room: int = 1024, **options) -> DataFrame:

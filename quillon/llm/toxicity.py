@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHash, as_bytes, pair, portions, table
+from .common import WordHash, as_bytes, pair, portions, table, tidy
 
 ENDS = b".,;:!?\"'()[]{}<>*#%&$|-_"
 
@@ -143,13 +143,13 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, max_train: int = 16_000, bi
     # at most about max_train rows of two numbers, so this side may go to every task
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"), F.first("y").alias("y"))
     ordered = texts.repartition(1).sortWithinPartitions(F.xxhash64(F.col("doc_id"), F.lit(3)), "doc_id")
-    found = ordered.select("text", "y").mapInArrow(_fit(bits, rates), "bucket long, weight double").toPandas()
+    found = ordered.select("text", "y").mapInArrow(tidy(_fit(bits, rates)), "bucket long, weight double").toPandas()
     return Weights(bits, found["bucket"].to_numpy(np.int64), found["weight"].to_numpy(float))
 
 
 def score_toxicity(docs: DataFrame, model: Weights) -> DataFrame:
     """doc_id and score of every row."""
-    return docs.select("doc_id", "text").mapInArrow(_score(model), "doc_id long, score double")
+    return docs.select("doc_id", "text").mapInArrow(tidy(_score(model)), "doc_id long, score double")
 
 
 def _reject(model: Weights, threshold: float):
@@ -169,7 +169,7 @@ def reject_toxic(docs: DataFrame, model: Weights, threshold: float = 0.5) -> Dat
     """The rows of ``docs`` that score below ``threshold``, all columns unchanged. A row and its
     text travel once."""
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
-    return rows.mapInArrow(_reject(model, threshold), rows.schema).select("row.*")
+    return rows.mapInArrow(tidy(_reject(model, threshold)), rows.schema).select("row.*")
 
 
 def op3_ftrl_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -242,3 +242,23 @@ def test_rules_without_labels(spark, edge, nothing):
     judged, rules = quality_rules(edge, unlabelled)
     assert rules == [] and all(r["kept"] != r["base_failed"] for r in judged.collect())
     assert quality_rules(nothing, unlabelled)[0].collect() == []
+
+
+def test_a_task_leaves_nothing_remembered_in_its_worker():
+    """Workers are used again by later stages; what each of those remembers would add up."""
+    from pyspark import cloudpickle
+    import numpy as np
+    import pyarrow as pa
+
+    from quillon.llm import toxicity
+    from quillon.llm.common import tidy
+
+    model = toxicity.Weights(20, np.array([1 << 20]), np.array([0.5]))
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array(["many words here", None])], ["doc_id", "text"])
+    toxicity.buckets_of(b"some words", 20)
+    assert len(toxicity._words) == 2
+    plain = list(toxicity._score(model)([batch]))
+    assert len(toxicity._words) > 2
+    task = cloudpickle.loads(cloudpickle.dumps(tidy(toxicity._score(model))))
+    assert list(task([batch])) == plain
+    assert len(toxicity._words) == 0
