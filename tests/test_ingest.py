@@ -188,3 +188,31 @@ def test_stream_of_bounded_batches(spark, catalog, tmp_path):
     at_once = Catalog(spark, str(tmp_path / "other"))
     ingest(at_once, spark.createDataFrame(rows, DELIVERY))
     assert at_once.manifest()[0] == 1 and counts(catalog) == counts(at_once) and counts(catalog)["link"] == 1
+
+
+def test_batches_leave_the_driver_little(spark, catalog):
+    """A batch's plans don't hold what its frames were made from (the driver keeps their texts),
+    and the frames that it held are gone, after a failure too."""
+    import os
+
+    from quillon.sources.catalog import Conflict
+    from quillon.storage import shared
+
+    store, bus = spark._jsparkSession.sharedState().statusStore(), spark.sparkContext._jsc.sc().listenerBus()
+
+    def texts():
+        bus.waitUntilEmpty(30_000)
+        found = store.executionsList()
+        return {e.executionId(): len(e.physicalPlanDescription()) for e in map(found.apply, range(found.size()))}
+
+    before = texts()
+    ingest(catalog, spark.createDataFrame([delivery("d1", doc(device(model="hub"), device(model="a", via_device=["hue", 0], entities=[entity()])))], DELIVERY))
+    new = [n for k, n in texts().items() if k not in before]
+    assert new and sum(new) < 2_000_000 and max(new) < 250_000, (sum(new), max(new))
+    ingest(catalog, spark.createDataFrame([delivery("d2", doc(device(model="b")))], DELIVERY))
+    other = Catalog(spark, catalog.root)
+    other.manifest = lambda at=None: Catalog.manifest(other, 1)  # another writer committed since
+    with pytest.raises(Conflict):
+        ingest(other, spark.createDataFrame([delivery("d3", doc(device(model="c")))], DELIVERY))
+    folder = os.path.dirname(shared(spark, "x")).removeprefix("file://")
+    assert not [n for n in os.listdir(folder) if n.startswith("held-")]
